@@ -12,7 +12,8 @@ is measured first. Nothing is shuffled, so copies and frequent passages make no
 
 Null texts and items are empty; an empty item matches nothing. Items whose id is null or repeated are looked for
 each. Texts of any length are read whole, in overlapping parts. Rows that repeat a doc_id are each searched, and
-equal findings are reported once per row. Empty tables give an empty result; other columns are not read."""
+equal findings are reported once per row. An empty benchmark finds nothing, and an
+empty table gives an empty result. Other columns are not read; without_leaks() passes them, whatever their names."""
 
 from __future__ import annotations
 
@@ -224,31 +225,43 @@ def leaks_of(texts: list[str], indexes: list[Index], longest: int, edits: float
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", edits: float = EDITS, q: int = Q) -> DataFrame:
-    """(doc_id, item_id, start, end, edits, shared): code points [start, end) of a document hold the item."""
-    spark = docs.sparkSession
+def indexes_of(benchmark: DataFrame, item_id: str, item_text: str, edits: float, q: int) -> Iterator[tuple[list[Index], int]]:
+    """The items' indexes, in parts of bounded size, and the longest item's length."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("item"))
     total, longest = items.agg(F.coalesce(F.sum(F.length("item")), F.lit(0)), F.coalesce(F.max(F.length("item")), F.lit(0))).first()
     parts = max(1, -(-total // PART_CHARS))
-    schema = "doc_id long, item_id long, start long, end long, edits long, shared long"
-    rows, out = with_text(docs, id_col, text_col), None
     for part in range(parts):
         here = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == part)
-        index = spark.sparkContext.broadcast(build([(r[0], r[1]) for r in here.toLocalIterator()], edits, q))
+        yield build([(r[0], r[1]) for r in here.toLocalIterator()], edits, q), longest
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", edits: float = EDITS, q: int = Q) -> DataFrame:
+    """(doc_id, item_id, start, end, edits, shared): code points [start, end) of a document hold the item."""
+    rows, out = with_text(docs, id_col, text_col), None
+    for built, longest in indexes_of(benchmark, item_id, item_text, edits, q):
+        index = docs.sparkSession.sparkContext.broadcast(built)
 
-        def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], index=index, longest=longest) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text", 1 << 20):
                 found = leaks_of(b.column("text").to_pylist(), index.value, longest, edits)
                 ids = b.column("doc_id").to_pylist()
                 cols = [[ids[f[0]] for f in found], *([f[i] for f in found] for i in range(1, 6))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "edits", "shared"])
 
-        found = rows.mapInArrow(work, schema)
+        found = rows.mapInArrow(work, "doc_id long, item_id long, start long, end long, edits long, shared long")
         out = found if out is None else out.union(found)
     return out
 
 
-def without_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that hold no item. A document without id is kept, as nothing names it."""
-    ids = leaks.select(F.col("doc_id").alias("_leaky")).where("_leaky is not null").distinct()
-    return docs.join(ids, F.col(id_col) == F.col("_leaky"), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", edits: float = EDITS, q: int = Q) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item."""
+    for built, longest in indexes_of(benchmark, item_id, item_text, edits, q):
+        index = docs.sparkSession.sparkContext.broadcast(built)
+
+        def work(batches: Iterator[pa.RecordBatch], index=index, longest=longest) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, text_col, 1 << 20):
+                leaky = {f[0] for f in leaks_of([t or "" for t in b.column(text_col).to_pylist()], index.value, longest, edits)}
+                yield b.filter(pa.array([i not in leaky for i in range(b.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs

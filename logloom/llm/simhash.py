@@ -176,3 +176,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = nodes.select(F.posexplode("bands").alias("table", "value"), "fp", "node", "sig").select(F.xxhash64("table", "value").alias("key"), "fp", "node", "sig")
     tied = components(cell_links(cells(shards), radius, 1 - (1 - similarity + slack) * 255 / 256))
     return _named(rows.select("doc_id", by), "by", nodes.select("by", "node"), tied).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, with all their columns, but those near_duplicates() ties to a smaller id. Rows of one id
+    stay or go together; a row without id stays."""
+    found = near_duplicates(docs, id_col, text_col, **how)
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
