@@ -50,7 +50,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = (F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS))
+
+    def of_kind(number: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long")
+
+    counts = (of_kind(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS))
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
