@@ -2,8 +2,8 @@
 
 Each labeller votes to reject or to keep a document, or abstains: by its symbols, capitals, stutter, sentence stops,
 repeated lines, insults, emptiness, and by the rows that label it. Expectation-maximisation over the counts of all
-documents' vote patterns estimates how each labeller votes on either class (a Dawid-Skene model with abstention), and
-so each pattern's posterior. Posteriors of a bounded sample of labelled documents (SAMPLE; of all, if none is
+documents' vote patterns estimates how each labeller votes on good, junk and toxic documents (a Dawid-Skene model
+with abstention), and so each pattern's posterior of not being good. Posteriors of a bounded sample of labelled documents (SAMPLE; of all, if none is
 labelled) train a logistic scorer on hashed words and votes by the text; its score judges every document.
 
 All documents' votes are counted; only the counts, at most 3 to the number of labellers, come to the driver. The
@@ -27,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, slices, with_text
+from .common import slices, with_text
 
-SAMPLE, BUCKETS, ROUNDS, REJECT = 20_000, 1 << 20, 60, 0.5
+SAMPLE, BUCKETS, ROUNDS, REJECT = 20_000, 1 << 20, 100, 0.5
+HEAD = 5
 KEEP_VOTE, REJECT_VOTE, ABSTAIN = 0, 1, 2
 STYLE = ("symbols", "capitals", "stutter", "stops", "lines", "insults", "empty")
 LABELS = ("labelled quality", "labelled toxic")
+ASPECTS = ("junk", "toxic")
+#: What each labeller's rejection speaks of.
+ASPECT_OF = tuple("toxic" if name in ("insults", "labelled toxic") else "junk" for name in STYLE + LABELS)
 
 # Common English insults.
 INSULTS = frozenset("idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns dumb imbecile jerk bastard bitch asshole fool ugly retard crap shit fuck".split())
@@ -46,7 +50,7 @@ def style_votes(text: str) -> list[int]:
     def vote(value: float, reject: float, keep: float) -> int:
         return REJECT_VOTE if value > reject else KEEP_VOTE if value < keep else ABSTAIN
 
-    words = WORD.findall(text)
+    words = text.encode("utf-8", "surrogatepass").split()
     n = len(words)
     if not n:
         return [ABSTAIN] * (len(STYLE) - 1) + [REJECT_VOTE]
@@ -66,37 +70,44 @@ def style_votes(text: str) -> list[int]:
 
 
 def features(text: str, votes: list[int]) -> np.ndarray:
-    """Hashed distinct words, and each vote by the text."""
+    """Hashed distinct words, beginnings of the longer ones, and each rejection by the text."""
     words = set(LETTERS.findall(text.lower()))
-    names = [w.encode("utf-8", "surrogatepass") for w in words] + [f"\0{s} {v}".encode() for s, v in zip(STYLE, votes)]
+    words |= {f"{w[:HEAD]}\0" for w in words if len(w) > HEAD}
+    names = [w.encode("utf-8", "surrogatepass") for w in words] + [f"\0{s}".encode() for s, v in zip(STYLE, votes) if v == REJECT_VOTE]
     return np.unique(np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % BUCKETS).astype("<i4")
 
 
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns (one row each) and their counts. Returns each pattern's posterior
-    of rejection, the share of rejected documents, and [labeller, class, vote] probabilities. It starts from: a
-    document that any labeller rejects is bad."""
-    bad = np.where((votes == REJECT_VOTE).any(axis=1), 0.95, 0.05)
-    share, table = 0.5, np.zeros((votes.shape[1], 2, 3))
+    of rejection, the classes' shares (good first, then ASPECTS), and [labeller, class, vote] probabilities. It
+    starts from: a document is bad in an aspect if a labeller of that aspect rejects it."""
+    rejects = votes == REJECT_VOTE
+    named = np.stack([rejects[:, [a == x for a in ASPECT_OF]].any(axis=1) for x in ASPECTS], axis=1).reshape(len(votes), len(ASPECTS))
+    good = np.where(named.any(axis=1), 0.05, 0.95)
+    spread = (named + 0.01) / (named + 0.01).sum(axis=1, keepdims=True)
+    post = np.concatenate([good[:, None], (1 - good)[:, None] * spread], axis=1)
+    classes = post.shape[1]
+    shares, table = np.full(classes, 1 / classes), np.zeros((votes.shape[1], classes, 3))
     for _ in range(rounds):
-        weight = np.stack([(1 - bad) * counts, bad * counts])
-        share = float((weight[1].sum() + 1) / (counts.sum() + 2))
+        weight = post * counts[:, None]
+        shares = (weight.sum(axis=0) + 1) / (counts.sum() + classes)
         for j in range(votes.shape[1]):
             for v in range(3):
-                table[j, :, v] = weight[:, votes[:, j] == v].sum(axis=1)
+                table[j, :, v] = weight[votes[:, j] == v].sum(axis=0)
         table = (table + 0.1) / (table + 0.1).sum(axis=2, keepdims=True)
-        log = np.log([1 - share, share])[:, None] + sum(np.log(table[j][:, votes[:, j]]) for j in range(votes.shape[1]))
-        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
-        if np.abs(new - bad).max(initial=0) < 1e-9:
-            bad = new
+        log = np.log(shares)[None, :] + sum(np.log(table[j][:, votes[:, j]]).T for j in range(votes.shape[1]))
+        new = np.exp(log - np.logaddexp.reduce(log, axis=1)[:, None])
+        done = np.abs(new - post).max(initial=0) < 1e-9
+        post = new
+        if done:
             break
-        bad = new
-    return bad, share, table
+    return 1 - post[:, 0], shares, table
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, least: int = 3, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, least: int = 8, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights per bucket and the bias of a logistic scorer, by full-batch Adagrad; buckets that fewer than `least`
-    rows have keep weight 0."""
+    rows have keep weight 0. The bias stays the rows' mean log odds and no weight is negative: a text is rejected for
+    what it has, and neither kept for its length nor rejected for its brevity."""
     weights = np.zeros(BUCKETS, np.float32)
     if not rows:
         return weights, 0.0
@@ -105,17 +116,15 @@ def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, least:
     common = np.bincount(flat, minlength=BUCKETS) >= least
     flat, row = flat[common[flat]], row[common[flat]]
     used, flat = np.unique(flat, return_inverse=True)
-    w, bias = np.zeros(len(used)), 0.0
-    sums, bias_sum = np.full(len(used), 1e-6), 1e-6
+    mean = float(np.clip(target.mean(), 0.01, 0.99))
+    w, bias = np.zeros(len(used)), float(np.log(mean / (1 - mean)))
+    sums = np.full(len(used), 1e-6)
     for _ in range(rounds):
         z = np.bincount(row, w[flat], len(rows)) + bias
         error = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
         g = np.bincount(flat, error[row], len(used)) + ridge * w
         sums += g * g
-        w -= 0.3 * g / np.sqrt(sums)
-        b = error.sum()
-        bias_sum += b * b
-        bias -= 0.3 * b / np.sqrt(bias_sum)
+        w = np.maximum(w - 0.3 * g / np.sqrt(sums), 0)
     weights[used] = w
     return weights, float(bias)
 
