@@ -1,8 +1,7 @@
-"""What the operators of this subpackage share: shared-folder tables, text batches, word rules."""
+"""What the operators of this subpackage share: shared-folder tables, text batches, the word rule."""
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,12 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The white space of the word rule.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-# The letters that are lower-cased.
-ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share. Only where none is set, as in tests, a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,9 +40,10 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ascii_lower(text: str) -> str:
-    """Lower-cases A-Z and no other letter."""
-    return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
+def words_of(text: str) -> list[bytes]:
+    """Runs of anything but the white space 0x20 and 0x09 to 0x0D, with A-Z and no other letter in lower case: what
+    split() and lower() do to bytes."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -87,6 +81,18 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(kept)
 
 
+def larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many (but the last), for work whose cost is in the calls."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def with_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator needs; a null text is an empty one."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)

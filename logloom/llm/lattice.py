@@ -21,16 +21,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, materialize
+from .common import larger, materialize, words_of
 
 CLASSES, BLOCK_CHARS, BLOCK_WORDS = 8, 24 << 20, 1 << 20
 DISCOUNT, STOP, BYTES = 0.75, 0.3, 1e-3
@@ -62,7 +63,7 @@ class Pieces:
             score = {p: -math.log(2.7 - s) for p, s in score.items()}
         lower: dict[str, float] = {}
         for p, s in score.items():  # words are lower-cased
-            q = ascii_lower(p)
+            q = p.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
             lower[q] = s if q not in lower else float(np.logaddexp(lower[q], s))
         weight = np.array(list(lower.values()))
         return cls(list(lower), weight + math.log1p(-BYTES) - np.logaddexp.reduce(weight))
@@ -124,12 +125,16 @@ class Pieces:
                 raw = "".join("\u2581" + words[i] for i in part.tolist()).encode("utf-32-le", "surrogatepass")
                 yield part, np.frombuffer(raw, "<u4").reshape(len(part), -1).astype(np.uint64)
 
-    def log_words(self, words: list[str]) -> np.ndarray:
-        """log10 of each word's probability: the sum over all its segmentations."""
-        out = np.zeros(len(words))
+    def log_words(self, words: list[str], others: tuple[Pieces, ...] = ()) -> np.ndarray:
+        """log10 of each word's probability: the sum over all its segmentations; a row for each word, a column for
+        this model and for each of the others, which have the same pieces."""
+        models = (self, *others)
+        out = np.zeros((len(words), len(models)))
         for part, codes in self.groups(words):
-            out[part] = self.forward(codes, self.edges(codes))[-1]
-        return (out + math.log(self.stop) - math.log1p(-self.stop)) / LN10
+            edges = self.edges(codes)
+            for i, m in enumerate(models):
+                out[part, i] = (m.forward(codes, edges)[-1] + math.log(m.stop) - math.log1p(-m.stop)) / LN10
+        return out
 
     def expected(self, words: list[str]) -> np.ndarray:
         """How often each piece is expected in the segmentations of the words, each counted once; last, how many
@@ -175,7 +180,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     names = ["block", "id", "word", *(f"c{k}" for k in range(CLASSES)), "doc_id", "held_out", "tokens"]
     number = TaskContext.get().partitionId() << 32
-    words: dict[str, int] = {}
+    words: defaultdict[bytes, int] = defaultdict(count().__next__)
     counts: list = []
     chars = 0
 
@@ -187,26 +192,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = list(words)
         for at in range(0, n, 1 << 16):
             end = min(n, at + (1 << 16))
-            cols = [pa.array(np.full(end - at, number)), pa.array(np.arange(at, end)), pa.array(every[at:end], pa.string()), *(pa.array(table[at:end, k]) for k in range(CLASSES)), pa.nulls(end - at, pa.int64()), pa.nulls(end - at, pa.bool_()), pa.nulls(end - at, pa.binary())]
+            cols = [pa.array(np.full(end - at, number)), pa.array(np.arange(at, end)), pa.array(every[at:end], pa.binary()).cast(pa.string()), *(pa.array(table[at:end, k]) for k in range(CLASSES)), pa.nulls(end - at, pa.int64()), pa.nulls(end - at, pa.bool_()), pa.nulls(end - at, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     for batch in batches:
         docs: list[list] = [[], [], [], []]
         for doc, text, k, held in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "k", "held_out"))):
-            tf = Counter(WORD.findall(ascii_lower(text)))
-            pairs = np.fromiter(((words.setdefault(w, len(words)), n) for w, n in tf.items()), np.dtype((np.int64, 2)), len(tf)).reshape(-1, 2)
-            pairs = pairs[np.argsort(pairs[:, 0])]
+            tokens = words_of(text)
+            ids, tf = np.unique(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)), return_counts=True)
             if not held:
-                counts.append((k, pairs[:, 0], pairs[:, 1]))
-            packed = np.concatenate([np.diff(pairs[:, 0], prepend=0), pairs[:, 1]]).astype("<u4")
+                counts.append((k, ids, tf))
+            packed = np.concatenate([np.diff(ids, prepend=0), tf]).astype("<u4")
             for c, v in zip(docs, (number, doc, held, zlib.compress(packed.tobytes(), 1))):
                 c.append(v)
             chars += len(text)
             if chars >= BLOCK_CHARS or len(words) >= BLOCK_WORDS:
                 yield from out()
                 number, chars = number + 1, 0
-                words.clear()
-                counts.clear()
+                words, counts = defaultdict(count().__next__), []
         n = len(docs[0])
         yield pa.RecordBatch.from_arrays([pa.array(docs[0], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), *([pa.array(np.zeros(n, np.int64))] * CLASSES), pa.array(docs[1], pa.int64()), pa.array(docs[2], pa.bool_()), pa.array(docs[3], pa.binary())], names)
     yield from out()
@@ -235,7 +238,7 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
 
         def expect(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
             total = {k: np.zeros(len(p.text) + 2) for k, p in current.value.items()}
-            for b in batches:
+            for b in larger(batches):
                 words = np.array(b.column("word").to_pylist(), object)
                 for k, p in current.value.items():
                     total[k] += p.expected(words[b.column(cs[k]).to_numpy() > 0].tolist())
@@ -253,10 +256,11 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each word's weight: log10 of its segmentations' sum in each class that has documents, as half floats,
         then a (count, class) for each class that has the word."""
-        for b in batches:
+        for b in larger(batches):
             table = np.stack([b.column(c).to_numpy() for c in cs], axis=1)
             words = b.column("word").to_pylist()
-            head = np.maximum(np.stack([p.log_words(words) for p in final.value.values()], axis=1), -60000).astype("<f2")
+            first, *others = final.value.values()
+            head = np.maximum(first.log_words(words, tuple(others)), -60000).astype("<f2")
             keyed = (table << 8) | np.arange(CLASSES)
             packed = [h.tobytes() + k[t > 0].astype("<u8").tobytes() for h, k, t in zip(head, keyed, table)]
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(packed, pa.binary()), *(b.column(c) for c in cs)], ["word", "weight", *cs])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import link
-from .common import WORD, ascii_lower, materialize, runs, slices, tasks_for, with_text
+from .common import materialize, runs, slices, tasks_for, with_text, words_of
 from .graph import components
 
 PART = 512
@@ -33,11 +33,11 @@ SEED = 42
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
     """XXH64 of each run of that many words, repeats included; of the whole sequence, if it has fewer."""
-    w = WORD.findall(ascii_lower(text))
+    w = words_of(text)
     if len(w) <= words:
-        return np.array([xxhash.xxh64_intdigest(" ".join(w), SEED)] if w else [], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED)] if w else [], np.uint64)
     parts = zip(*(w[i:] for i in range(words)))
-    return np.fromiter(map(xxhash.xxh64_intdigest, map(" ".join, parts), repeat(SEED)), np.uint64, len(w) - words + 1)
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(SEED)), np.uint64, len(w) - words + 1)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
