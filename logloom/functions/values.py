@@ -51,7 +51,7 @@ def equals(column: Column, kind: str, key: object) -> Column:
     if value is None:
         return F.lit(False)
     if kind == "float" and value == 0:  # 0 and -0 have different texts
-        return (column == 0.0) & (F.startswith(column.cast("string"), F.lit("-")) == F.lit(key_text(key).startswith("-")))
+        return column.between(0.0, 0.0) & (column.cast("string") == ("-0.0" if key_text(key).startswith("-") else "0.0"))
     return column == F.lit(value)
 
 
