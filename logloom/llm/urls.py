@@ -4,7 +4,7 @@ A path's segments are generalised where they vary: one with a digit becomes `*`
 level, the branches below a node are merged into `*` unless their share of bad labels differs significantly from
 that of their siblings together (two-proportion z-test; a stricter bound where a node has many branches). What lies
 below DEPTH levels is `/**`. A template's bad share is smoothed towards its host's, and that towards the whole
-table's; from REJECT on, the template's urls are blocked.
+table's (a quarter, where nothing is labelled); from REJECT on, the template's urls are blocked.
 
 The tree is built from counts per host and generalised path, which are aggregated map-side, so a host that has a
 third of all pages is no hot task; the last join, by host and generalised path, can be split by AQE.
@@ -78,7 +78,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     known = labels.where(F.col(label_id).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy(F.col(label_id).cast("long").alias("page_id")).agg(F.max(bad).alias("bad"))
     paths = rows.join(known, "page_id", "left").groupBy("host", "shape", "segs").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     tree = materialize(template_tree(materialize(paths, "paths")), "templates")
-    whole = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("prior"))  # one row
+    whole = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("prior"))  # one row
     hosts = tree.groupBy("host").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).crossJoin(F.broadcast(whole)).select("host", ((F.col("b") + WEIGHT * F.col("prior")) / (F.col("n") + WEIGHT)).alias("host_share"))
     shares = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).join(hosts, "host").select("host", "template", ((F.col("b") + WEIGHT * F.col("host_share")) / (F.col("n") + WEIGHT)).alias("bad_share"))
     by_shape = tree.select("host", "shape", "template").join(shares, ["host", "template"])
@@ -114,7 +114,7 @@ WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '
 , known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1)
 , t0 AS (SELECT host, shape, segs, count(bad)::DOUBLE AS labelled, coalesce(sum(bad), 0)::DOUBLE AS bad, '' AS template FROM rows_ LEFT JOIN known USING (page_id) GROUP BY host, shape, segs){levels}
 , tree AS (SELECT host, shape, labelled, bad, template || CASE WHEN len(segs) > {depth} THEN '/**' ELSE '' END AS template FROM t{depth})
-, whole AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) AS prior FROM tree)
+, whole AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) AS prior FROM tree)
 , hosts AS (SELECT host, (sum(bad) + {WEIGHT}::DOUBLE * any_value(prior)) / (sum(labelled) + {WEIGHT}::DOUBLE) AS host_share FROM tree, whole GROUP BY host)
 , shares AS (SELECT host, template, (sum(bad) + {WEIGHT}::DOUBLE * any_value(host_share)) / (sum(labelled) + {WEIGHT}::DOUBLE) AS bad_share FROM tree JOIN hosts USING (host) GROUP BY host, template)
 SELECT r.page_id, r.host, r.path, CASE{rule} END AS rule, coalesce(CASE{verdict} END, CASE WHEN bad_share >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, template, bad_share
