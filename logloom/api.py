@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import errors as E
-from .functions.values import float_text, key_text
+from .functions.values import float_text, key_text, text_of, typed_key
 from .operators import batch
 from .operators.replay import numbered
 from .operators.store import State, Store
@@ -131,6 +131,17 @@ class Database:
         schema = self.schema.table(table)
         return matching(self.live(table), schema, *key_of(schema, Plan(Op.FIND, table, lookup, key))).orderBy("id")
 
+    def get_each(self, table: str, lookup: str, keys: Iterable[object] | DataFrame) -> DataFrame:
+        """Many gets in one job: the rows of any of the keys of a unique lookup. A list becomes one pushed-down
+        predicate; a DataFrame of one column of key texts is joined."""
+        schema = self.schema.table(table)
+        key_of(schema, Plan(Op.GET, table, lookup, ""), unique=True)
+        rows, kind = self.live(table), schema.fields[lookup]
+        if isinstance(keys, DataFrame):
+            return rows.join(keys.select(F.col(keys.columns[0]).alias("_key")).distinct(), text_of(F.col(lookup), kind) == F.col("_key"), "left_semi")
+        typed = [v for k in keys if (v := typed_key(kind, k)) is not None]
+        return rows.where(F.col(lookup).isin(typed)) if typed else rows.limit(0)
+
     def scan(self, table: str, limit: int | None = None, cursor: str | None = None) -> Page:
         return self.execute(Plan(Op.SCAN, table, limit=limit, cursor=cursor))
 

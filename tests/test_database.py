@@ -153,6 +153,16 @@ def test_frames(spark, db):
         db.insert_frame("users", rows.limit(3))
 
 
+def test_many_gets_in_one_job(spark, db):
+    db.insert_many("users", [user(i) for i in range(9)])
+    ids = lambda rows: sorted(r.id for r in rows.collect())
+    assert ids(db.get_each("users", "id", ["u1", "u5", "nope"])) == ["u1", "u5"]
+    assert ids(db.get_each("users", "email", spark.createDataFrame([("2@x",), ("2@x",)], "k string"))) == ["u2"]
+    assert ids(db.get_each("users", "id", [])) == []
+    with pytest.raises(E.InvalidPlan):
+        db.get_each("notes", "notebook_id", ["c"])
+
+
 def test_names_of_tables(db):
     db.users.insert(user(1))
     assert db.users.get("u1")["email"] == "1@x" and db.users.get(db.users.key.email("1@x"))["id"] == "u1"
