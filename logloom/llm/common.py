@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, for tasks that cannot import it from a path of theirs."""
+    context = spark.sparkContext
+    if getattr(context, "_logloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="logloom-package-")) / "logloom-package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._logloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share. Only where none is set, as in tests, a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
