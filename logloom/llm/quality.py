@@ -2,8 +2,8 @@
 
 Each labeller votes to reject or to keep a document, or abstains: by its symbols, capitals, stutter, sentence stops,
 repeated lines, insults, emptiness, and by the rows that label it. Expectation-maximisation over the counts of all
-documents' vote patterns estimates how each labeller votes on good, junk and toxic documents (a Dawid-Skene model
-with abstention), and so each pattern's posterior of not being good. Posteriors of a bounded sample of labelled documents (SAMPLE; of all, if none is
+documents' vote patterns estimates how each labeller votes on good, junk and toxic documents (a Dawid-Skene model),
+and so each pattern's posterior of not being good. Posteriors of a bounded sample of labelled documents (SAMPLE; of all, if none is
 labelled) train a logistic scorer on hashed words and votes by the text; its score judges every document.
 
 All documents' votes are counted; only the counts, at most 3 to the number of labellers, come to the driver. The
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -30,11 +31,12 @@ from pyspark.sql import functions as F
 from .common import slices, with_text
 
 SAMPLE, BUCKETS, ROUNDS, REJECT = 20_000, 1 << 20, 100, 0.5
-HEAD = 5
+HEAD, OFTEN, VOTE, SILENT = 4, 4, 3.0, 0.3
 KEEP_VOTE, REJECT_VOTE, ABSTAIN = 0, 1, 2
 STYLE = ("symbols", "capitals", "stutter", "stops", "lines", "insults", "empty")
 LABELS = ("labelled quality", "labelled toxic")
 ASPECTS = ("junk", "toxic")
+ONE_SIDED = ("stops", "insults", "empty")
 #: What each labeller's rejection speaks of.
 ASPECT_OF = tuple("toxic" if name in ("insults", "labelled toxic") else "junk" for name in STYLE + LABELS)
 
@@ -70,32 +72,44 @@ def style_votes(text: str) -> list[int]:
 
 
 def features(text: str, votes: list[int]) -> np.ndarray:
-    """Hashed distinct words, beginnings of the longer ones, and each rejection by the text."""
+    """Hashed distinct words, beginnings of the longer ones by how many words share them, and each rejection by the
+    text."""
     words = set(LETTERS.findall(text.lower()))
-    words |= {f"{w[:HEAD]}\0" for w in words if len(w) > HEAD}
-    names = [w.encode("utf-8", "surrogatepass") for w in words] + [f"\0{s}".encode() for s, v in zip(STYLE, votes) if v == REJECT_VOTE]
+    heads = Counter(w[:HEAD] for w in words if len(w) > HEAD)
+    names = [w.encode("utf-8", "surrogatepass") for w in (*words, *(f"{h}\0{i}" for h, n in heads.items() for i in range(min(n, OFTEN))))] + [f"\0{s}".encode() for s, v in zip(STYLE, votes) if v == REJECT_VOTE]
     return np.unique(np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % BUCKETS).astype("<i4")
 
 
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns (one row each) and their counts. Returns each pattern's posterior
-    of rejection, the classes' shares (good first, then ASPECTS), and [labeller, class, vote] probabilities. It
-    starts from: a document is bad in an aspect if a labeller of that aspect rejects it."""
+    of rejection, the classes' shares (good first, then ASPECTS), and the probabilities of [labeller, class, vote].
+    It starts from: a document is bad in an aspect if a labeller of that aspect rejects it. An abstention says
+    nothing, except that a labeller that can only reject keeps what it does not reject; but it is held to overlook
+    SILENT of the bad at least, as it may know only some of their forms."""
     rejects = votes == REJECT_VOTE
+    silent = np.array([name in ONE_SIDED for name in STYLE + LABELS])
+    votes = np.where((votes == ABSTAIN) & silent, KEEP_VOTE, votes)
     named = np.stack([rejects[:, [a == x for a in ASPECT_OF]].any(axis=1) for x in ASPECTS], axis=1).reshape(len(votes), len(ASPECTS))
     good = np.where(named.any(axis=1), 0.05, 0.95)
     spread = (named + 0.01) / (named + 0.01).sum(axis=1, keepdims=True)
     post = np.concatenate([good[:, None], (1 - good)[:, None] * spread], axis=1)
     classes = post.shape[1]
-    shares, table = np.full(classes, 1 / classes), np.zeros((votes.shape[1], classes, 3))
+    own = np.array([[k > 0 and ASPECTS[k - 1] == a for k in range(classes)] for a in ASPECT_OF])
+    prior = np.where(own[..., None], [1.0, 2.0], [2.0, 0.1])  # a labeller is more often right than wrong
+    shares, table = np.full(classes, 1 / classes), prior / prior.sum(axis=2, keepdims=True)
     for _ in range(rounds):
         weight = post * counts[:, None]
         shares = (weight.sum(axis=0) + 1) / (counts.sum() + classes)
         for j in range(votes.shape[1]):
-            for v in range(3):
-                table[j, :, v] = weight[votes[:, j] == v].sum(axis=0)
-        table = (table + 0.1) / (table + 0.1).sum(axis=2, keepdims=True)
-        log = np.log(shares)[None, :] + sum(np.log(table[j][:, votes[:, j]]).T for j in range(votes.shape[1]))
+            for v in (KEEP_VOTE, REJECT_VOTE):
+                table[j, :, v] = weight[votes[:, j] == v].sum(axis=0) + prior[j, :, v]
+        table /= table.sum(axis=2, keepdims=True)
+        quiet = np.where(silent[:, None] & own, np.maximum(table[..., KEEP_VOTE], SILENT), table[..., KEEP_VOTE])
+        table = np.stack([quiet, 1 - quiet], axis=2)
+        log = np.repeat(np.log(shares)[None, :], len(votes), axis=0)
+        for j in range(votes.shape[1]):
+            for v in (KEEP_VOTE, REJECT_VOTE):
+                log[votes[:, j] == v] += np.log(table[j, :, v])
         new = np.exp(log - np.logaddexp.reduce(log, axis=1)[:, None])
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
@@ -104,25 +118,32 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[
     return 1 - post[:, 0], shares, table
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, least: int = 8, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def vote_buckets() -> np.ndarray:
+    return np.array([zlib.crc32(f"\0{s}".encode()) % BUCKETS for s in STYLE])
+
+
+def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, least: int = 3, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights per bucket and the bias of a logistic scorer, by full-batch Adagrad; buckets that fewer than `least`
     rows have keep weight 0. The bias stays the rows' mean log odds and no weight is negative: a text is rejected for
-    what it has, and neither kept for its length nor rejected for its brevity."""
+    what it has, and neither kept for its length nor rejected for its brevity. A rejecting vote weighs VOTE at first
+    and is drawn towards that, so that few rows suffice."""
     weights = np.zeros(BUCKETS, np.float32)
+    weights[vote_buckets()] = VOTE
     if not rows:
-        return weights, 0.0
+        return weights, -VOTE / 2
     flat = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     common = np.bincount(flat, minlength=BUCKETS) >= least
     flat, row = flat[common[flat]], row[common[flat]]
     used, flat = np.unique(flat, return_inverse=True)
-    mean = float(np.clip(target.mean(), 0.01, 0.99))
-    w, bias = np.zeros(len(used)), float(np.log(mean / (1 - mean)))
+    mean = float(np.clip(target.mean(), 0.01, 0.3))
+    start = weights[used].astype(float)
+    w, bias = start.copy(), float(np.log(mean / (1 - mean)))
     sums = np.full(len(used), 1e-6)
     for _ in range(rounds):
         z = np.bincount(row, w[flat], len(rows)) + bias
         error = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
-        g = np.bincount(flat, error[row], len(used)) + ridge * w
+        g = np.bincount(flat, error[row], len(used)) + ridge * (w - start)
         sums += g * g
         w = np.maximum(w - 0.3 * g / np.sqrt(sums), 0)
     weights[used] = w

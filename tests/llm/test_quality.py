@@ -17,6 +17,9 @@ def test_estimate_finds_labellers_accuracies():
         votes[says & own & (rng.random(n) < 0.85), j] = Q.REJECT_VOTE
         votes[says & ~own & (rng.random(n) < 0.6), j] = Q.KEEP_VOTE
         votes[~own & (rng.random(n) < 0.01), j] = Q.REJECT_VOTE
+    for j, name in enumerate(Q.STYLE + Q.LABELS):
+        if name in Q.ONE_SIDED:
+            votes[votes[:, j] == Q.KEEP_VOTE, j] = Q.ABSTAIN
     patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     posterior, shares, table = Q.estimate(patterns, counts.astype(float))
     assert np.abs(shares - [0.7, 0.2, 0.1]).max() < 0.05
