@@ -6,7 +6,8 @@ smoothed with a Gaussian window; lines above a threshold (the ratios' standard d
 mean) are content, and the innermost container that holds most of the content's characters is the content region.
 Lines of the region are kept whatever their own ratio, so short paragraphs of an article stay; lines inside
 elements that are by their tag, role, class or id no content (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, comments) are never kept.
+forms, scripts, styles, comments) are never kept; a class or id is not believed if the element holds an article or
+the page's main heading.
 
 A null html is an empty one and gives an empty text; so does a page without text. Rows that repeat a page are each
 extracted; a null page_id or url is kept. Pages may have any length: the parser holds one page. An empty table gives
@@ -38,6 +39,7 @@ MARKS = frozenset(
 )
 #: An article's own heading, which classes may call a header.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+WHOLE = frozenset("html body main article".split()) | HEADINGS
 #: Elements that an open p ends at.
 ENDS_P = BLOCKS - {"html", "body"}
 WORDS = re.compile(r"[a-z]+")
@@ -45,16 +47,20 @@ SPACE = re.compile(r"\s+")
 
 
 def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """By its tag, its role, or because it is hidden."""
     if tag in BOILERPLATE or tag == "header" and not in_article:
         return True
-    if tag in ("html", "body", "main", "article") or tag in HEADINGS:
+    if tag in WHOLE:
         return False
-    for name, value in attrs:
-        if name == "role" and value and value.lower().strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and value and not (tag == "header" and in_article) and not MARKS.isdisjoint(WORDS.findall(value.lower())):
-            return True
-    return False
+    return any(name == "role" and value and value.lower().strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
+
+
+def is_marked(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """By its class or id. In an article `header` is no mark, as its heading is often in one."""
+    if tag in WHOLE:
+        return False
+    words = {w for name, value in attrs if name in ("class", "id") and value for w in WORDS.findall(value.lower())}
+    return not (MARKS - {"header"} if in_article else MARKS).isdisjoint(words)
 
 
 class Lines(HTMLParser):
@@ -62,13 +68,16 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, skipped, boilerplate
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, drops its text, is a container, is marked
         self.dropped = 0  # open elements that drop their text
+        self.marked: list[int] = []  # numbers of the open elements that class or id mark
+        self.cleared: set[int] = set()  # of those that hold the article or the page's heading after all
         self.links = 0
         self.articles = 0
         self.path: list[int] = [0]  # numbers of the open containers
         self.next = 1
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.marks: list[tuple[int, ...]] = []  # of each line
         self.text: list[str] = []
         self.linked = 0
         self.tags = 0
@@ -78,6 +87,7 @@ class Lines(HTMLParser):
         self.text.clear()
         if text:
             self.lines.append((text, self.linked, self.tags, tuple(self.path), self.articles > 0))
+            self.marks.append(tuple(self.marked))
             self.tags = 0
         self.linked = 0
 
@@ -94,7 +104,13 @@ class Lines(HTMLParser):
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self.end(tag, inside=frozenset(("ul", "ol", "dl", "table", "select")))
         drops = tag in SKIPPED or is_boilerplate(tag, attrs, self.articles > 0)
-        self.stack.append((tag, drops, tag in CONTAINERS))
+        if tag in ("main", "article", "h1"):
+            self.cleared.update(self.marked)
+        marked = not drops and is_marked(tag, attrs, self.articles > 0)
+        self.stack.append((tag, drops, tag in CONTAINERS, marked))
+        if marked:
+            self.marked.append(self.next)
+            self.next += 1
         self.dropped += drops
         self.links += tag == "a"
         self.articles += tag in ("article", "main")
@@ -124,7 +140,9 @@ class Lines(HTMLParser):
         else:
             return
         while len(self.stack) > i:
-            name, drops, container = self.stack.pop()
+            name, drops, container, marked = self.stack.pop()
+            if marked:
+                self.marked.pop()
             self.dropped -= drops
             self.links -= name == "a"
             self.articles -= name in ("article", "main")
@@ -156,7 +174,7 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.75) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = [line for line, marks in zip(parser.lines, parser.marks) if parser.cleared.issuperset(marks)]
     if not lines:
         return ""
     ratios = smooth([max(0, len(t) - linked) / max(1, tags) for t, linked, tags, _, _ in lines], sigma)

@@ -31,6 +31,12 @@ def test_small_pages(html, text):
     assert main_text(html) == text
 
 
+def test_marks_on_what_holds_the_article():
+    page = '<body><div class="layout has-sidebar"><div class="post-header"><h1>Head line</h1></div><article><p>Text of it.</p><div class="article-header"><h2>Part</h2></div></article><div class="sidebar">Side</div></div><div id="ad-1">Buy</div></body>'
+    assert main_text(page) == "Text of it.\n\nPart"
+    assert main_text(page.replace("article>", "section>")) == "Head line\n\nText of it."
+
+
 def test_content_region_without_article():
     body = "".join(f"<p>{'Word ' * 40}{i}</p>" for i in range(6))
     page = f"<body><div><ul>{'<li><a href=x>link</a>' * 20}</ul></div><div>{body}<p>End.</p></div><div><a>one</a> <a>two</a></div></body>"
