@@ -236,8 +236,7 @@ class Database:
     def _append(self, table: TableSchema, rows: list[tuple]) -> list[AppendResult]:
         frame = self.spark.createDataFrame(rows, batch.change_schema(table))
         state, path = self._commit(table, frame, len(rows), dense=True)
-        ops = self.spark.read.schema(batch.op_schema(table)).parquet(f"{self.store.root}/{path}").orderBy("tx_id").collect()  # as many as were given
-        return [AppendResult(r.tx_id, "put" if r.op == "R" else "delete", len(encoded_line(table, r.tx_id, r.op, r.asDict()).encode()) + 1) for r in ops]
+        return self._results(table, path)
 
     def write_frame(self, table: str, changes: DataFrame) -> int:
         """A batch of any size: changes (seq, kind, lookup, key, fields), of which columns that are not there are
@@ -261,6 +260,57 @@ class Database:
     def upsert_frame(self, table: str, rows: DataFrame, order: str = "id") -> int:
         return self.write_frame(table, numbered(rows, [order], "seq").withColumn("kind", F.lit(batch.UPSERT)))
 
+    def write_together(self, plans: list[Plan]) -> dict[str, list[AppendResult]]:
+        """Changes of several tables as one version: all of them or none. The rules of write_many hold in each table;
+        transaction ids go by table, in the order in which the tables first occur."""
+        by_table: dict[str, list[Plan]] = {}
+        for p in plans:
+            by_table.setdefault(p.table, []).append(p)
+        rows = {}
+        for name, own in by_table.items():
+            if any(p.op is Op.INSERT for p in own) and any(p.op is not Op.INSERT for p in own):
+                raise E.InvalidPlan("write_many insert changes cannot be mixed with other changes; use insert_many")
+            table = table_of(self.schema, own[0])
+            rows[name] = [self._change(table, i, p) for i, p in enumerate(own)]
+        if not rows:
+            return {}
+        written: dict[str, str] = {}
+
+        def make(state: State) -> State:
+            for old in written.values():
+                self.store.files.delete(f"{self.store.root}/{old}")
+            written.clear()
+            now = state
+            try:
+                for name, changes in rows.items():
+                    table = self.schema.table(name)
+                    written[name] = self.store.new_path(table, "log")
+                    frame = self.spark.createDataFrame(changes, batch.change_schema(table))
+                    self._write_log(table, frame, state, now.next_tx, written[name], dense=True)
+                    now = self.store.with_log(now, table, written[name], len(changes))
+            except E.EngineError:
+                for old in written.values():
+                    self.store.files.delete(f"{self.store.root}/{old}")
+                raise
+            return State(state.version + 1, now.next_tx, now.tables)
+
+        self.store.commit(make)
+        return {name: self._results(self.schema.table(name), path) for name, path in written.items()}
+
+    def _results(self, table: TableSchema, path: str) -> list[AppendResult]:
+        ops = self.spark.read.schema(batch.op_schema(table)).parquet(f"{self.store.root}/{path}").orderBy("tx_id").collect()  # as many as were given
+        return [AppendResult(r.tx_id, "put" if r.op == "R" else "delete", len(encoded_line(table, r.tx_id, r.op, r.asDict()).encode()) + 1) for r in ops]
+
+    def _write_log(self, table: TableSchema, changes: DataFrame, state: State, next_tx: int, path: str, dense: bool) -> None:
+        """Writes the operations that changes stand for in a version, and checks what was written."""
+        target = f"{self.store.root}/{path}"
+        rows = self.store.live(state, table)
+        ops = batch.resolve(changes, rows, table)
+        tx = ops.withColumn("tx_id", F.col("seq") + next_tx) if dense else numbered(ops, ["seq"], "tx_id", next_tx)
+        tx.select("tx_id", "op", *table.fields, "seq", "kind").write.parquet(target)
+        stored = self.spark.read.parquet(target)
+        batch.raise_first(batch.violations(changes, stored.select("seq", "kind", "op", *table.fields), rows, table), table)
+
     def _commit(self, table: TableSchema, changes: DataFrame, count: int, dense: bool) -> tuple[State, str]:
         """Writes the operations, checks what was written against the version it was resolved for, publishes."""
         written: list[str] = []
@@ -269,21 +319,18 @@ class Database:
             for old in written:  # of a try that lost
                 self.store.files.delete(f"{self.store.root}/{old}")
             written[:] = [self.store.new_path(table, "log")]
-            path = f"{self.store.root}/{written[0]}"
-            rows = self.store.live(state, table)
-            ops = batch.resolve(changes, rows, table)
-            tx = ops.withColumn("tx_id", F.col("seq") + state.next_tx) if dense else numbered(ops, ["seq"], "tx_id", state.next_tx)
-            tx.select("tx_id", "op", *table.fields, "seq", "kind").write.parquet(path)
-            stored = self.spark.read.parquet(path)
             try:
-                batch.raise_first(batch.violations(changes, stored.select("seq", "kind", "op", *table.fields), rows, table), table)
+                self._write_log(table, changes, state, state.next_tx, written[0], dense)
             except E.EngineError:
-                self.store.files.delete(path)
+                self.store.files.delete(f"{self.store.root}/{written[0]}")
                 raise
             return self.store.with_log(state, table, written[0], count)
 
         return self.store.commit(make), written[0]
 
+    def write_batch(self, changes: WriteBatch) -> list[AppendResult]:
+        return self.write_many(changes.plans)
+
     # Maintenance -----------------------------------------------------------------------------------------------------
 
     def rebuild_cache(self, table: str) -> None:
@@ -291,6 +338,11 @@ class Database:
 
     refresh_snapshot = rebuild_cache
 
+    def snapshot_is_fresh(self, table: str) -> bool:
+        """Whether reads of the table need no operation after its snapshot."""
+        entry = self.store.table_state(self.store.state(), self.schema.table(table))
+        return entry.snapshot is not None and entry.after_snapshot == len(entry.logs)
+
     def compact(self, table: str) -> dict[str, int]:
         return self.store.compact(self.schema.table(table))
 
@@ -318,6 +370,25 @@ class Database:
             return json.dumps({"ok": False, "error": {"code": "invalid_value", "message": str(e)}})
 
 
+class WriteBatch:
+    """Changes of one table, gathered one by one: new rows only, or puts, edits and removals."""
+
+    def __init__(self, table: str, insert_only: bool = False):
+        self.table, self.insert_only, self.plans = table, insert_only, []
+
+    @classmethod
+    def inserts(cls, table: str) -> WriteBatch:
+        return cls(table, insert_only=True)
+
+    def push(self, plan: Plan) -> WriteBatch:
+        if plan.table != self.table:
+            raise E.InvalidInput(f"a batch of `{self.table}` cannot take a change of `{plan.table}`")
+        if (plan.op is Op.INSERT) != self.insert_only:
+            raise E.InvalidInput("a batch of inserts takes inserts only, and no other batch takes any")
+        self.plans.append(plan)
+        return self
+
+
 class _Names:
     """db.table.by.lookup(key) and db.table.key.lookup(key)."""
 
@@ -475,4 +546,4 @@ def _wire_plan(db: Database, request: dict) -> Plan:
     return Plan(ops[request["op"]], table.name, lookup, key, value, request.get("limit"), request.get("cursor"))
 
 
-__all__ = ["MAX_LIMIT", "AppendResult", "Database", "DatabaseOptions", "Key", "Table"]
+__all__ = ["MAX_LIMIT", "AppendResult", "Database", "DatabaseOptions", "Key", "Table", "WriteBatch"]

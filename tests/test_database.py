@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom import errors as E
-from logloom.api import Database, Key
+from logloom.api import Database, Key, WriteBatch
 from logloom.plans.request import Op, Plan, change, selector
 
 SCHEMA = """
@@ -163,6 +163,38 @@ def test_many_gets_in_one_job(spark, db):
         db.get_each("notes", "notebook_id", ["c"])
 
 
+def test_several_tables_in_one_version(db):
+    note = {"id": "n1", "notebook_id": "b", "title": "t", "body": "x", "updated_at": 1}
+    out = db.write_together([change.add("users", user(1)), change.set("notes", note), change.add("users", user(2))])
+    assert [r.tx_id for r in out["users"]] == [1, 2] and [r.tx_id for r in out["notes"]] == [3]
+    before = db.store.state()
+    with pytest.raises(E.AlreadyExists):
+        db.write_together([change.set("notes", note | {"id": "n2"}), change.add("users", user(1))])
+    assert db.store.state() == before and db.count("notes") == 1 and db.write_together([]) == {}
+
+
+def test_gathered_batches_and_freshness(db):
+    b = WriteBatch.inserts("users").push(change.add("users", user(1))).push(change.add("users", user(2)))
+    with pytest.raises(E.InvalidInput):
+        b.push(change.set("users", user(3)))
+    with pytest.raises(E.InvalidInput):
+        b.push(change.add("notes", {}))
+    assert len(db.write_batch(b)) == 2 and not db.snapshot_is_fresh("users")
+    db.refresh_snapshot("users")
+    assert db.snapshot_is_fresh("users")
+    db.users.remove("u1")
+    assert not db.snapshot_is_fresh("users") and db.count("users") == 1
+
+
+def test_command_line(tmp_path, capsys):
+    from logloom.__main__ import main
+
+    (tmp_path / "s").write_text("a { id id n int }")
+    assert main(["--version"]) == main(["help"]) == main(["generate", "stubs", str(tmp_path / "s")]) == 0
+    assert "n: int" in capsys.readouterr().out
+    assert main(["nonsense"]) == main(["generate", "stubs"]) == 2 and main(["generate", "stubs", str(tmp_path / "none")]) == 1
+
+
 def test_names_of_tables(db):
     db.users.insert(user(1))
     assert db.users.get("u1")["email"] == "1@x" and db.users.get(db.users.key.email("1@x"))["id"] == "u1"
