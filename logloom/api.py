@@ -255,10 +255,17 @@ class Database:
         return count
 
     def insert_frame(self, table: str, rows: DataFrame, order: str = "id") -> int:
-        return self.write_frame(table, numbered(rows, [order], "seq").withColumn("kind", F.lit(batch.INSERT)))
+        return self._write_rows(table, rows, order, batch.INSERT)
 
     def upsert_frame(self, table: str, rows: DataFrame, order: str = "id") -> int:
-        return self.write_frame(table, numbered(rows, [order], "seq").withColumn("kind", F.lit(batch.UPSERT)))
+        return self._write_rows(table, rows, order, batch.UPSERT)
+
+    def _write_rows(self, table: str, rows: DataFrame, order: str, kind: str) -> int:
+        told = numbered(rows, [order], "seq")
+        try:
+            return self.write_frame(table, told.withColumn("kind", F.lit(kind)))
+        finally:
+            told.release()
 
     def write_together(self, plans: list[Plan]) -> dict[str, list[AppendResult]]:
         """Changes of several tables as one version: all of them or none. The rules of write_many hold in each table;
@@ -308,6 +315,8 @@ class Database:
         ops = batch.resolve(changes, rows, table)
         tx = ops.withColumn("tx_id", F.col("seq") + next_tx) if dense else numbered(ops, ["seq"], "tx_id", next_tx)
         tx.select("tx_id", "op", *table.fields, "seq", "kind").write.parquet(target)
+        if not dense:
+            tx.release()
         stored = self.spark.read.parquet(target)
         batch.raise_first(batch.violations(changes, stored.select("seq", "kind", "op", *table.fields), rows, table), table)
 

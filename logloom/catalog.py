@@ -152,9 +152,9 @@ def compact_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("compaction_stats", f"SELECT (SELECT count(*) FROM {live_sql('line_state')}) AS rows_live, (SELECT count(*) FROM lineitem) AS ops_before, (SELECT count(*) FROM {live_sql('line_state')}) AS ops_after")
 def compaction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = log(spark, sf_dir, "line_state")
-    n = replayed(spark, sf_dir, "line_state").agg(F.count(F.lit(1)).alias("rows_live"))
-    before = ops.agg(F.count(F.lit(1)).alias("ops_before"))
-    return n.join(before, how="cross").select("rows_live", "ops_before", F.col("rows_live").alias("ops_after"))  # one row each
+    n = replayed(spark, sf_dir, "line_state").agg(F.count(F.lit(1)).alias("rows_live"), F.lit(1).alias("one"))
+    before = ops.agg(F.count(F.lit(1)).alias("ops_before"), F.lit(1).alias("one"))
+    return n.join(before, "one").select("rows_live", "ops_before", F.col("rows_live").alias("ops_after"))
 
 
 # Batches: the source table as it is, changed by rules on its ids ------------------------------------------------------

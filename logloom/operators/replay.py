@@ -44,7 +44,8 @@ def repeated(rows: DataFrame, key: str = "id") -> DataFrame:
 
 def numbered(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """rows with consecutive numbers in an order, without a window over all rows: rows are dealt into ranges, ranges
-    are counted (a row each comes to the driver), and numbers are a range's start and a count within it."""
+    are counted (a row each comes to the driver), and numbers are a range's start and a count within it. The ranges are
+persisted; who has written the result may call its release()."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).persist()
@@ -55,9 +56,14 @@ def numbered(rows: DataFrame, order: list[str], name: str, start: int = 0) -> Da
         total += counts[part]
     starts = F.create_map(*[F.lit(x) for pair in first for x in pair]) if first else F.create_map(F.lit(0), F.lit(0))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn(name, (F.element_at(starts, F.col("_range")) + own - 1).cast("long")).drop("_range")
+    out = ranged.withColumn(name, (F.element_at(starts, F.col("_range")) + own - 1).cast("long")).drop("_range")
+    out.release = ranged.unpersist
+    return out
 
 
 def compacted(rows: DataFrame, fields: list[str], next_tx: int) -> DataFrame:
     """The live rows as puts with fresh transaction ids in the order of id: (tx_id, op, fields)."""
-    return numbered(rows, ["id"], "tx_id", next_tx).select("tx_id", F.lit("R").alias("op"), *fields)
+    fresh = numbered(rows, ["id"], "tx_id", next_tx)
+    out = fresh.select("tx_id", F.lit("R").alias("op"), *fields)
+    out.release = fresh.release
+    return out

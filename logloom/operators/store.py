@@ -123,7 +123,9 @@ class Store:
         def make(state: State) -> State:
             entry = self.table_state(state, table)
             path = self.new_path(table, "log")
-            compacted(self.live(state, table), list(table.fields), state.next_tx).write.parquet(f"{self.root}/{path}")
+            fresh = compacted(self.live(state, table), list(table.fields), state.next_tx)
+            fresh.write.parquet(f"{self.root}/{path}")
+            fresh.release()
             rows = self.spark.read.schema(op_schema(table)).parquet(f"{self.root}/{path}").count()
             report.update(rows=rows, ops_before=entry.ops, ops_after=rows, logs_before=len(entry.logs), logs_after=1)
             tables = dict(state.tables) | {table.name: TableState(entry.signature, [path], rows)}
