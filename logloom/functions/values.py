@@ -63,14 +63,15 @@ def text_of(column: Column, kind: str) -> Column:
     if kind != "float":
         return column.cast("string")
     text = column.cast("string")
-    mantissa = F.regexp_extract(text, r"^(-?)([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", 0)
-    sign = F.regexp_extract(text, r"^(-?)", 1)
-    whole, frac = F.regexp_extract(text, r"^-?([0-9]+)\.", 1), F.regexp_extract(text, r"\.([0-9]+)", 1)
-    frac = F.when(frac == "0", "").otherwise(frac)
-    power = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    digits, point = F.concat(whole, frac), F.length(whole) + power
-    padded = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), 1 - point), digits)).otherwise(F.rpad(digits, F.greatest(point, F.length(digits)), "0"))
-    cut = F.greatest(point, F.lit(1))
-    left, right = F.substring(padded, F.lit(1), cut), F.substring(padded, cut + 1, F.length(padded))
-    plain = F.concat(sign, left, F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
-    return F.when(F.isnan(column), "NaN").when(column == float("inf"), "inf").when(column == float("-inf"), "-inf").when(mantissa == "", text).otherwise(plain)
+    special = F.when(F.isnan(column), "NaN").when(column == float("inf"), "inf").when(column == float("-inf"), "-inf")
+    short = F.when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", ""))
+    # With an exponent: digits and the place of the point, then zeros on either side. Each step is one variable.
+    whole, frac = F.regexp_extract(text, r"([0-9]+)\.", 1), F.regexp_replace(F.regexp_extract(text, r"\.([0-9]+)", 1), "^0$", "")
+    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    parts = F.struct(F.concat(whole, frac).alias("d"), (F.length(whole) + power).alias("p"))
+    left = lambda x: F.when(x["p"] > 0, F.rpad(F.substring(x["d"], F.lit(1), x["p"]), x["p"], "0")).otherwise("0")
+    right = lambda x: F.when(x["p"] > 0, F.substring(x["d"], x["p"] + 1, F.length(x["d"]))).otherwise(F.concat(F.repeat(F.lit("0"), -x["p"]), x["d"]))
+    point = lambda r: F.when(r == "", r).otherwise(F.concat(F.lit("."), r))
+    spelled = F.transform(F.array(parts), lambda x: F.concat(left(x), F.get(F.transform(F.array(right(x)), point), F.lit(0))))
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    return F.coalesce(special, short, F.concat(sign, F.get(spelled, F.lit(0))))
