@@ -78,8 +78,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     known = labels.where(F.col(label_id).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy(F.col(label_id).cast("long").alias("page_id")).agg(F.max(bad).alias("bad"))
     paths = rows.join(known, "page_id", "left").groupBy("host", "shape", "segs").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     tree = materialize(template_tree(materialize(paths, "paths")), "templates")
-    whole = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("prior"))  # one row
-    hosts = tree.groupBy("host").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).crossJoin(F.broadcast(whole)).select("host", ((F.col("b") + WEIGHT * F.col("prior")) / (F.col("n") + WEIGHT)).alias("host_share"))
+    bad_all, labelled_all = tree.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
+    prior = (bad_all + 0.5) / (labelled_all + 2.0)
+    hosts = tree.groupBy("host").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).select("host", ((F.col("b") + WEIGHT * F.lit(prior)) / (F.col("n") + WEIGHT)).alias("host_share"))
     shares = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).join(hosts, "host").select("host", "template", ((F.col("b") + WEIGHT * F.col("host_share")) / (F.col("n") + WEIGHT)).alias("bad_share"))
     by_shape = tree.select("host", "shape", "template").join(shares, ["host", "template"])
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
