@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
 STRICT = {"int": r"\A[+-]?[0-9]+\z", "bool": r"\A(true|false)\z", "float": r"\A[+-]?(inf|infinity|nan|NaN|Infinity|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)\z"}
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def escape(c: Column) -> Column:
     for plain, escaped in ESCAPES:  # the backslash first
         c = F.replace(c, F.lit(plain), F.lit(escaped))

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import errors as E
-from ..functions.text import escape, parse, segment_name
+from ..functions.text import escape, let, parse, segment_name
 from ..functions.values import text_of
 from ..schema import KINDS, TableSchema
 from .shared import Files
@@ -53,23 +53,29 @@ def encode(ops: DataFrame, table: TableSchema, keep: tuple[str, ...] = ()) -> Da
 def decode(lines: DataFrame, table: TableSchema, keep: tuple[str, ...] = ()) -> DataFrame:
     """Lines as (keep, tx_id, op, fields, problem); problem is null for a sound line. A line without tag is a put of
     transaction 0, as old logs have them."""
-    n = len(table.fields)
-    raw = lines.withColumn("parts", F.split("line", "\t", -1))
-    tag = F.get("parts", F.lit(0))
-    tagged = tag.isin("R", "D") & (F.size("parts") >= 3)
-    raw = raw.withColumn("op", F.when(tagged, tag).otherwise("R")).withColumn("values", F.when(tagged, F.slice("parts", F.lit(3), F.size("parts"))).otherwise(F.col("parts")))
-    tx_text = F.get("parts", F.lit(1))
-    tx = F.when(~tagged, F.lit(0).cast("long")).when(tx_text.rlike(r"\A\+?[0-9]+\z"), tx_text.try_cast("bigint"))
-    want = F.when(F.col("op") == "R", F.lit(n)).otherwise(F.lit(1))
-    names = list(table.fields)
-    cells = [parse(F.get("values", F.lit(i)), k) for i, k in enumerate(table.fields.values())]
-    dead = parse(F.get("values", F.lit(0)), "id")
-    typed = [F.when(F.col("op") == "R", c).otherwise(dead if f == "id" else F.lit(None)).cast(KINDS[table.fields[f]]).alias(f) for f, c in zip(names, cells)]
-    out = raw.select(*keep, tx.alias("tx_id"), "op", *typed, F.size("values").alias("_n"), want.alias("_want"))
-    bad = F.when(F.col("tx_id").isNull(), "bad transaction id").when(F.col("_n") != F.col("_want"), F.concat(F.lit("bad column count: expected "), F.col("_want").cast("string"), F.lit(", found "), F.col("_n").cast("string"))).when(F.col("id").isNull(), "bad value of field `id`")
-    for f in names:
-        bad = bad.when((F.col("op") == "R") & F.col(f).isNull(), f"bad value of field `{f}`")
-    return out.withColumn("problem", bad).drop("_n", "_want")
+    fields = table.struct().fields
+
+    def tagged(parts: Column) -> Column:
+        tag, tx = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        has = tag.isin("R", "D") & (F.size(parts) >= 3)
+        number = F.when(~has, F.lit(0).cast("long")).when(tx.rlike(r"\A\+?[0-9]+\z"), tx.try_cast("bigint"))
+        return F.struct(number.alias("tx_id"), F.when(has, tag).otherwise("R").alias("op"), F.when(has, F.slice(parts, F.lit(3), F.size(parts))).otherwise(parts).alias("values"))
+
+    def typed(x: Column) -> Column:
+        put = x["op"] == "R"
+        cells = [F.when(put | F.lit(f.name == "id"), parse(F.get(x["values"], F.lit(i) if f.name != "id" else F.when(put, F.lit(i)).otherwise(F.lit(0))), f.metadata["kind"])).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)]
+        return F.struct(x["tx_id"].alias("tx_id"), x["op"].alias("op"), F.size(x["values"]).alias("n"), *cells)
+
+    def judged(x: Column) -> Column:
+        want = F.when(x["op"] == "R", F.lit(len(fields))).otherwise(F.lit(1))
+        bad = F.when(x["tx_id"].isNull(), "bad transaction id").when(x["n"] != want, F.concat(F.lit("bad column count: expected "), want.cast("string"), F.lit(", found "), x["n"].cast("string"))).when(x["id"].isNull(), "bad value of field `id`")
+        for f in fields:
+            bad = bad.when((x["op"] == "R") & x[f.name].isNull(), f"bad value of field `{f.name}`")
+        return F.struct(*(x[c].alias(c) for c in ("tx_id", "op", *table.fields)), bad.alias("problem"))
+
+    # Each step is bound to a variable, so that a predicate on the outcome does not repeat them for each field.
+    row = let(let(let(F.split("line", "\t", -1), tagged), typed), judged)
+    return lines.select(*keep, row.alias("_row")).select(*keep, "_row.*")
 
 
 def read_segments(spark: SparkSession, folder: str, table: TableSchema, mode: str = "strict") -> DataFrame:
