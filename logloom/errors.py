@@ -1,4 +1,4 @@
-"""The errors of the engine; `code` is what the JSON interface reports."""
+"""The errors of the engine; `code` is what the JSON interface reports. The codes and the messages."""
 
 from __future__ import annotations
 
