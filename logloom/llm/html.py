@@ -168,10 +168,19 @@ def smooth(values: list[float], sigma: float) -> list[float]:
     return out
 
 
+def closed(html: str) -> str:
+    """The page with each mark that begins what never ends as a character reference: it is text then, and what
+    follows it is read on. Else the parser would look for the end once for each."""
+    for begin, end in (("<!--", "--"), ("<![", "]"), ("<", "")):
+        cut = html.rfind(f"{end}>") + 1
+        html = html[:cut] + html[cut:].replace(begin, f"&lt;{begin[1:]}")
+    return html
+
+
 def main_text(html: str, sigma: float = 1.0, share: float = 0.75) -> str:
     """The content region's lines, joined by an empty line."""
     parser = Lines()
-    parser.feed(html)
+    parser.feed(closed(html))
     parser.close()
     parser.flush()
     lines = [line for line, marks in zip(parser.lines, parser.marks) if parser.cleared.issuperset(marks)]

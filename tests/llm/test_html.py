@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html as H
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -31,6 +32,13 @@ def test_small_pages(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize("mark", ["<a href='", "<!--", "<![CDATA[", "<?", "</", "&#", "<p ", '<a href="x', "<script>", "<title>"])
+def test_what_never_ends_takes_linear_time(mark):
+    began = time.perf_counter()
+    main_text(mark * 100_000)
+    assert time.perf_counter() - began < 5
+
+
 def test_marks_on_what_holds_the_article():
     page = '<body><div class="layout has-sidebar"><div class="post-header"><h1>Head line</h1></div><article><p>Text of it.</p><div class="article-header"><h2>Part</h2></div></article><div class="sidebar">Side</div></div><div id="ad-1">Buy</div></body>'
     assert main_text(page) == "Text of it.\n\nPart"
