@@ -317,7 +317,7 @@ class Database:
         tx.select("tx_id", "op", *table.fields, "seq", "kind").write.parquet(target)
         if not dense:
             tx.release()
-        stored = self.spark.read.parquet(target)
+        stored = self.spark.read.schema(batch.op_schema(table).add("seq", "long").add("kind", "string")).parquet(target)
         batch.raise_first(batch.violations(changes, stored.select("seq", "kind", "op", *table.fields), rows, table), table)
 
     def _commit(self, table: TableSchema, changes: DataFrame, count: int, dense: bool) -> tuple[State, str]:

@@ -72,8 +72,8 @@ def violations(changes: DataFrame, ops: DataFrame, live: DataFrame, table: Table
     missing = keyed.join(ops.select("seq"), "seq", "left_anti")
     out = [say(missing, 1, "not_found", text(f"row not found in `{table.name}` for unique lookup `", F.col("lookup"), "`"))]
     puts = ops.where("op = 'R'")
-    for f in table.fields:
-        out.append(say(puts.where(F.col(f).isNull()), 2, "missing_field", F.lit(f)))
+    lacking = F.coalesce(*(F.when(F.col(f).isNull(), F.lit(f)) for f in table.fields))
+    out.append(say(puts.where(lacking.isNotNull()), 2, "missing_field", lacking))
     exists = ops.where(F.col("kind") == INSERT).join(live.select("id"), "id", "left_semi")
     out.append(say(exists, 3, "already_exists", text("row `", F.col("id"), f"` already exists in `{table.name}`")))
     twice = ops.groupBy("id").agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n")).where("n > 1")
