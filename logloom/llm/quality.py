@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, with_text
 
-SAMPLE, BUCKETS, ROUNDS, REJECT = 20_000, 1 << 20, 100, 0.5
+SAMPLE, BUCKETS, ROUNDS, REJECT, CHUNK = 20_000, 1 << 20, 100, 0.5, 1 << 22
 HEAD, OFTEN, VOTE, SILENT = 4, 4, 3.0, 0.3
 KEEP_VOTE, REJECT_VOTE, ABSTAIN = 0, 1, 2
 STYLE = ("symbols", "capitals", "stutter", "stops", "lines", "insults", "empty")
@@ -124,26 +124,33 @@ def vote_buckets() -> np.ndarray:
 
 def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, least: int = 3, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights per bucket and the bias of a logistic scorer, by full-batch Adagrad; buckets that fewer than `least`
-    rows have keep weight 0. The bias stays the rows' mean log odds and no weight is negative: a text is rejected for
+    rows have keep the weight they start with. The bias stays the rows' mean log odds and no weight is negative: a text is rejected for
     what it has, and neither kept for its length nor rejected for its brevity. A rejecting vote weighs VOTE at first
     and is drawn towards that, so that few rows suffice."""
     weights = np.zeros(BUCKETS, np.float32)
     weights[vote_buckets()] = VOTE
     if not rows:
         return weights, -VOTE / 2
-    flat = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    common = np.bincount(flat, minlength=BUCKETS) >= least
-    flat, row = flat[common[flat]], row[common[flat]]
-    used, flat = np.unique(flat, return_inverse=True)
+    seen = np.zeros(BUCKETS, np.int32)
+    for r in rows:
+        seen[r] += 1  # a row has a bucket once
+    used = np.flatnonzero(seen >= least)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    flat = np.concatenate([(p := place[r])[p >= 0] for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [int((place[r] >= 0).sum()) for r in rows])
+    parts = [slice(at, at + CHUNK) for at in range(0, len(flat), CHUNK)]
     mean = float(np.clip(target.mean(), 0.01, 0.3))
     start = weights[used].astype(float)
     w, bias = start.copy(), float(np.log(mean / (1 - mean)))
     sums = np.full(len(used), 1e-6)
     for _ in range(rounds):
-        z = np.bincount(row, w[flat], len(rows)) + bias
+        z, g = np.full(len(rows), bias), ridge * (w - start)
+        for part in parts:
+            z += np.bincount(row[part], w[flat[part]], len(rows))
         error = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
-        g = np.bincount(flat, error[row], len(used)) + ridge * (w - start)
+        for part in parts:
+            g += np.bincount(flat[part], error[row[part]], len(used))
         sums += g * g
         w = np.maximum(w - 0.3 * g / np.sqrt(sums), 0)
     weights[used] = w
