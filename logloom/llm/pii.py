@@ -2,7 +2,8 @@
 
 Rules give the base spans (emails, addresses, cards, phone numbers). They are the seeds: the one and two words before
 a mention are its lexical patterns, and mentions are all identifier-like strings (with a digit, or connected by @ . _
-+ -). In the graph of patterns and distinct strings, a pattern's confidence for a kind is the summed score of its
++ -; a number runs on over the single spaces, points, hyphens and brackets between its groups of digits). A seed's
+string is its whole base span; numbers are the same if their digits are. In the graph of patterns and distinct strings, a pattern's confidence for a kind is the summed score of its
 strings over their number (plus one, which holds small patterns down), a seed's score is 1 for its kind, and any
 other string's is its best pattern's confidence; this is iterated ROUNDS times. Patterns of CONFIDENCE or more with
 SEEDS seeds at least mark their other mentions as spans of their kind. Base spans stay; new ones never overlap them.
@@ -29,8 +30,12 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: An identifier-like string: runs of letters and digits with single connectors, a digit or an @ in it.
-MENTION = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z._+-]*+[0-9@])[@._+-]*+[A-Za-z0-9]++(?:[@._+-][A-Za-z0-9]++)*+"
+#: An identifier-like string: a number, whose groups of digits may stand apart as those of cards and phones do, or
+#: runs of letters and digits with single connectors, a digit or an @ in it. An address's digits join no others.
+_GROUP = r"(?![0-9]++\.[0-9]++\.[0-9]++\.[0-9])[0-9]++(?![A-Za-z@_+])"
+_NUMBER = rf"(?:\([0-9]++\)[\x20.-]?+(?=[0-9]))?+[0-9]++(?:[.-][0-9]++(?![A-Za-z@_+])|(?<![0-9]\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}})\x20{_GROUP}|[\x20.-]?\([0-9]++\)[\x20.-]?{_GROUP})*+(?![A-Za-z0-9@_+]|[.-][A-Za-z0-9])"
+_TOKEN = r"[A-Za-z0-9]++(?:[@._+-][A-Za-z0-9]++)*+"
+MENTION = rf"(?<![A-Za-z0-9@._+-])(?=[@._+-]*+\([0-9]|[A-Za-z._+-]*+[0-9@])[@._+-]*+(?:{_NUMBER}|{_TOKEN})"
 
 ROUNDS, CONFIDENCE, SEEDS, BLOCK = 3, 0.7, 3, 128
 _SPANS = "array<struct<start:int,end:int>>"
@@ -97,20 +102,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return F.filter(whole, lambda s: _valid(kind, s["value"]))
 
     base = F.array_sort(F.concat(*(spans(i, k) for i, k in enumerate(KINDS))))
-    lead = lambda v: F.length(F.regexp_extract(v, r"\A[@._+-]*", 0))
+    lead = lambda v: F.length(F.regexp_extract(v, r"\A(?:[@._-]|\+(?![0-9(]))*", 0))
     tails = F.transform("mention_m", lambda m, i: F.struct(m.alias("m"), F.right(F.get("mention_g", i), F.lit(64)).alias("before")))
     mentions = F.zip_with("mention_s", tails, lambda s, t: F.struct((s["start"] + lead(t["m"])).alias("start"), s["end"].alias("end"), F.lower(F.substring(t["m"], lead(t["m"]) + 1, F.length(t["m"]))).alias("value"), t["before"].alias("before")))
     return found.select("doc_id", F.xxhash64("text").alias("mark"), base.alias("base"), mentions.alias("mentions"))
 
 
+def _named(value: Column) -> Column:
+    """A string as the graph has it: a number is its digits, unless points part them as an address's."""
+    return F.when(value.rlike(r"\A[+(]*[0-9][\x20().0-9-]*\z") & ~value.rlike(r"\A[0-9]+(?:\.[0-9]+)+\z"), _digits(value)).otherwise(F.lower(value))
+
+
 def discover(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS) -> DataFrame:
     """(doc_id, mark, start, end, kind): mentions that confident patterns mark and no base span touches."""
     each = scanned.where(F.size("mentions") > 0).select("doc_id", "mark", "base", F.explode("mentions").alias("m")).select("doc_id", "mark", "base", "m.*")
     over = lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))
-    touched = F.filter("base", over)
-    # A seed is the mention that a base span begins in; a phone number's sign is not part of the mention.
-    kind = F.get(F.filter("base", lambda s: (s["start"] >= F.col("start") - 1) & (s["start"] < F.col("end")) & over(s)), F.lit(0))["kind"]
-    each = each.select("doc_id", "mark", "start", "end", "value", "before", F.size(touched).alias("touched"), kind.alias("seed")).where("touched = 0 or seed is not null")
+    # Seeds are the base spans that begin in the mention, each with its own words before it.
+    begun = F.filter("base", lambda s: (s["start"] >= F.col("start") - 1) & (s["start"] < F.col("end")) & over(s))
+    each = each.select("doc_id", "mark", "start", "end", "value", "before", F.size(F.filter("base", over)).alias("touched"), F.explode_outer(begun).alias("seed")).where("touched = 0 or seed is not null")
+    inside = F.substring(F.col("value"), F.lit(1), F.greatest(F.col("seed")["start"] - F.col("start"), F.lit(0)))
+    before = F.when(F.col("seed").isNull(), F.col("before")).otherwise(F.right(F.concat("before", inside), F.lit(64)))
+    each = each.select("doc_id", "mark", "start", "end", _named(F.coalesce(F.col("seed")["value"], F.col("value"))).alias("value"), before.alias("before"), "touched", F.col("seed")["kind"].alias("seed"))
     ending = lambda n: F.lower(F.regexp_replace(F.regexp_extract("before", rf"(?:\S+\s+){{0,{n}}}\S*\z", 0), r"\s+", " "))
     patterns = F.array_distinct(F.array(F.concat(F.lit("1 "), ending(1)), F.concat(F.lit("2 "), ending(2))))
     pairs = materialize(each.withColumn("pattern", F.explode(patterns)).where(F.length(F.trim("pattern")) > 2).drop("before", "touched"), "mentions")

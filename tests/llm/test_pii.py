@@ -74,6 +74,15 @@ def test_patterns_discover_unseen_identifiers(spark, docs_frame):
     assert spans[20] == "email:20:27" and spans[21] == "" and spans[22] == "" and all(spans[i].startswith("email:26:") for i in range(8))
 
 
+def test_spaced_numbers_are_discovered_whole(spark, docs_frame):
+    rows = [(i, f"Some words. Reach me under +1 (017) 555-77{i:02} any day.") for i in range(8)]
+    rows += [(i, f"Some words. Charge my card {n} now.") for i, n in enumerate(("4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004", "3530 1113 3330 0000", "4012 8888 8888 1881"), 10)]
+    rows += [(20, "So reach me under 030 1234567 today."), (21, "So reach me under (030) 123-4567."), (22, "So reach me under +49 30 12345."), (23, "So charge my card 1234 5678 9012 3456 then."), (24, "It took 1 day and 10 175 ms on 1.5e3 hosts 1.2.3 v2 30."), (25, "So reach me under 5551234 1.2.3.4 now")]
+    left = {r.doc_id: r.text for r in pii.redact(docs_frame(rows)).collect()}
+    assert all("[PHONE] any" in left[i] for i in range(8)) and all("card [CARD] now" in left[i] for i in range(10, 16))
+    assert [left[i] for i in range(20, 26)] == ["So reach me under [PHONE] today.", "So reach me under [PHONE].", "So reach me under [PHONE].", "So charge my card [CARD] then.", rows[-2][1], "So reach me under [PHONE] [IP] now"]
+
+
 def test_redaction_and_odd_rows(spark, docs_frame):
     docs = docs_frame([(1, "a@b.cc and 1.2.3.4!"), (1, "a@b.cc and 1.2.3.4!"), (2, None), (None, "x +1 (017) 555-7713 y"), (3, "clean"), (4, "+4111 1111 1111 1111 "), (5, "")], "spans", "mark", "base")
     got = sorted((str(r.doc_id), str(r.text)) for r in pii.redact(docs).collect())
