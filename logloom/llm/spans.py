@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; one of more than LONG words is cut every LONG words from its start, so text without
-stops has units too. A run is RUN consecutive units, and as many more as it takes to have WORDS words. All runs are
+A text is cut into sentences; one of more than LONG words is cut where its content says so (before words whose hash is
+the least among NEAR words on either side), so text without stops has units too, and a passage has the same ones from
+whichever word of a sentence it begins or is edited at. A run is RUN consecutive units, and as many more as it takes to have WORDS words. All runs are
 hashed; a run that occurs in several documents is first in the one with the smallest id (and at its first place
 there). Units that any non-first run covers are removed.
 
@@ -25,12 +26,30 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-RUN, WORDS, LONG = 3, 10, 16
+RUN, WORDS, LONG, NEAR = 3, 10, 16, 2
 STOP = re.compile(r"""[.!?]+["')\]»”]*(?=\s)|\n+""")
 TOKEN = re.compile(r"\S+")
 _P = np.uint64(0x100000001B3)
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Where the units of a long sentence start. Equal words are equally least, so what repeats is cut alike all along.
+    Where no word is least over LONG words, the least within is, and so on in the parts."""
+    h = [*map(xxhash.xxh64_intdigest, words)]
+    n = len(h)
+    out = [0]
+    for i in [*(i for i in range(1, n) if h[i] == min(h[max(0, i - NEAR) : i + NEAR + 1])), n]:
+        todo = [(out[-1], i)]
+        while todo:
+            a, b = todo.pop()
+            if b - a > LONG:
+                at = min(range(a + 1, b), key=h.__getitem__)
+                todo += [(at, b), (a, at)]
+            elif b < n:
+                out.append(b)
+    return out
+
+
 def units(text: str) -> tuple[list[int], list[int], list[int]]:
     """Ends of the units (each starts where the last ended), their numbers of words, their hashes."""
     ends, words, hashes = [], [], []
@@ -51,12 +70,12 @@ def units(text: str) -> tuple[list[int], list[int], list[int]]:
             words.append(len(w))
             hashes.append(xxhash.xxh64_intdigest(" ".join(w)))
         else:
-            starts = [m.start() for i, m in enumerate(TOKEN.finditer(part)) if i % LONG == 0]
-            for i, s in enumerate(starts):
-                ends.append(at + starts[i + 1] if i + 1 < len(starts) else end)
-                own = w[i * LONG : (i + 1) * LONG]
-                words.append(len(own))
-                hashes.append(xxhash.xxh64_intdigest(" ".join(own)))
+            first = cuts(w)
+            starts = [m.start() for m in TOKEN.finditer(part)]
+            for a, b in zip(first, [*first[1:], len(w)]):
+                ends.append(at + starts[b] if b < len(w) else end)
+                words.append(b - a)
+                hashes.append(xxhash.xxh64_intdigest(" ".join(w[a:b])))
         at = end
     if ends:
         ends[-1] = len(low)

@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from logloom.llm.spans import LONG, RUN, WORDS, dedup_spans, run_hashes, units
+from logloom.llm.spans import LONG, NEAR, RUN, WORDS, cuts, dedup_spans, run_hashes, units
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +75,29 @@ def test_long_passages_are_caught(spark, docs_frame):
     docs = docs_frame([(i, f"Begin number {i} is here. {passage} It ends as {i} does.") for i in range(5)])
     got = {r.doc_id: r.text for r in dedup_spans(docs).collect()}
     assert passage in got[0] and all("word30" not in got[i] and f"number {i}" in got[i] for i in range(1, 5))
+
+
+def test_passages_in_mid_sentence_are_caught_at_any_offset(spark, docs_frame):
+    passage = " ".join(f"word{i}" for i in range(70))
+    before = lambda k: " ".join(f"own{k}x{i}" for i in range(k))
+    docs = docs_frame([(k, f"{before(k)} {passage} {before(k + 40)}") for k in range(20)])
+    got = {r.doc_id: r.text for r in dedup_spans(docs).collect()}
+    assert passage in got[0] and all(w in got[k] for k in range(20) for w in (before(k), before(k + 40)))
+    assert all(sum(w.startswith("word") for w in got[k].split()) <= 17 for k in range(1, 20))  # over three quarters go
+    edited = docs_frame([(0, passage), (1, passage.replace("word5 ", "").replace("word60", "new and newer"))])
+    assert sum(w.startswith("word") for w in {r.doc_id: r.text for r in dedup_spans(edited).collect()}[1].split()) <= 35
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), min_size=LONG + 1, max_size=120), st.integers(1, 20))
+def test_cuts_do_not_depend_on_the_offset(words, offset):
+    one, two = set(cuts(words)), {i - offset for i in cuts(["z"] * offset + words)}
+    least = {i for i in range(NEAR, len(words)) if min(words[max(0, i - NEAR) : i + NEAR + 1], key=xxhash.xxh64_intdigest) == words[i]}
+    assert least <= one and least <= two and max(b - a for a, b in zip(sorted(one), [*sorted(one)[1:], len(words)])) <= LONG
+
+
+def test_where_no_word_is_least():
+    words = sorted((f"w{i}" for i in range(100)), key=xxhash.xxh64_intdigest)
+    for w in (words, words[::-1]):
+        at = cuts(w)
+        assert at[0] == 0 and at == sorted(set(at)) and max(b - a for a, b in zip(at, [*at[1:], 100])) <= LONG
