@@ -2,8 +2,8 @@
 
 A path's segments are generalised where they vary: one with a digit becomes `*` and its extension. Then, level by
 level, the branches below a node are merged into `*` unless their share of bad labels differs significantly from
-that of their siblings together (two-proportion z-test; a stricter bound where a node has many branches). What lies
-below DEPTH levels is `/**`. A template's bad share is smoothed towards its host's, and that towards the whole
+that of their siblings together (two-proportion z-test; a stricter bound where a node has many branches), down to the
+last segment of the longest path. A template's bad share is smoothed towards its host's, and that towards the whole
 table's (a quarter, where nothing is labelled); from REJECT on, the template's urls are blocked.
 
 The tree is built from counts per host and generalised path, which are aggregated map-side, so a host that has a
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: DEPTH is the SQL's: its levels are written out, so it is the same for paths of that many segments.
 DEPTH, LEAST, MANY, Z, Z_MANY, WEIGHT, REJECT = 3, 5, 16, 1.96, 3.29, 10.0, 0.5
 
 # The rules that come before the method.
@@ -50,12 +51,26 @@ def segments(path: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(path, r"\A/", ""), "/"), lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"\.[A-Za-z]+\z", 0))).otherwise(s))
 
 
-def template_tree(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """paths (host, shape, segs, labelled, bad) with their template."""
-    tree = paths.withColumn("template", F.lit(""))
+def template_tree(paths: DataFrame) -> DataFrame:
+    """paths (host, shape, segs, labelled, bad) with their template: a segment or `*` for each of theirs.
+
+    A round tests one level of each open node and ends when none is. Open are nodes in which a level further down
+    could still tell branches apart: what is left of their paths differs, and they have labels of both kinds and
+    enough for two branches. Levels that all of a node's paths share are passed at once, and so is the rest of the
+    others': they have no two branches to test. So the rounds are as many as the levels that branch."""
+    tree = paths.withColumns({"template": F.lit(""), "at": F.lit(0)})
     total = lambda: (F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    for level in range(depth):
-        tree = tree.withColumn("seg", F.get("segs", F.lit(level)))
+    stars = lambda n: F.repeat(F.lit("/*"), n)
+    left = F.slice("segs", F.col("at") + 1, F.greatest(F.size("segs") - F.col("at"), F.lit(0)))
+    while True:
+        nodes = tree.where(F.size("segs") > F.col("at")).groupBy("host", "template").agg(*total(), F.min(left).alias("low"), F.max(left).alias("high"))
+        differ = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False)
+        opened = nodes.where((F.col("labelled") >= 2 * LEAST) & (F.col("bad") > 0) & (F.col("bad") < F.col("labelled"))).select("host", "template", (differ - 1).cast("int").alias("common")).where("common >= 0")
+        opened = materialize(opened, "open-nodes")
+        if opened.isEmpty():
+            break
+        tree = tree.join(opened, ["host", "template"], "left").withColumns({"template": F.concat("template", stars(F.coalesce("common", F.lit(0)))), "at": F.col("at") + F.coalesce("common", F.lit(0)), "seg": F.when(F.col("common").isNotNull(), F.get("segs", F.col("at") + F.col("common")))}).drop("common")
+        tree = materialize(tree, "level")
         branch = tree.where("seg is not null").groupBy("host", "template", "seg").agg(*total())
         node = branch.groupBy("host", "template").agg(F.count(F.lit(1)).alias("branches"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         b, rest_n, rest_bad = F.col("bad"), F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
@@ -65,8 +80,9 @@ def template_tree(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
         gap = F.abs(F.try_divide(b.cast("double"), F.col("labelled").cast("double")) - F.try_divide(rest_bad.cast("double"), rest_n.cast("double")))
         own = F.coalesce(F.when(enough & (pooled > 0) & (pooled < 1), gap >= F.when(F.col("branches") > MANY, Z_MANY).otherwise(Z) * spread), F.lit(False))
         named = branch.join(node, ["host", "template"]).select("host", "template", "seg", F.concat("template", F.lit("/"), F.when(own, F.col("seg")).otherwise("*")).alias("longer"))
-        tree = tree.join(named, ["host", "template", "seg"], "left").withColumn("template", F.coalesce("longer", "template")).drop("longer", "seg")
-    return tree.withColumn("template", F.concat("template", F.when(F.size("segs") > depth, "/**").otherwise("")))
+        tree = tree.join(named, ["host", "template", "seg"], "left").withColumns({"template": F.coalesce("longer", "template"), "at": F.col("at") + F.when(F.col("longer").isNull(), 0).otherwise(1)}).drop("longer", "seg")
+        tree = materialize(tree, "level")
+    return tree.withColumn("template", F.concat("template", stars(F.size("segs") - F.col("at")))).drop("at")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", rules=RULES) -> DataFrame:

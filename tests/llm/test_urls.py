@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -53,3 +55,25 @@ def test_bad_sections_are_blocked_and_variable_segments_merge(spark):
     assert {r.template for r in got if r.path.startswith("/spam")} == {"/spam/*"}
     alike = judge_urls(pages, spark.createDataFrame([(i, i % 7 % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int"))
     assert {r.template for r in alike.collect()} == {"/*/*"}
+
+
+def test_deep_paths_are_told_apart(spark):
+    """As the SQL does it with as many levels as there are."""
+    rng = random.Random(6)
+    rows = [(i, f"http://h.net/en/blog/2024/{'casino' if i % 4 == 0 else 'news'}/{'abc'[i % 3]}/{i}.html") for i in range(400)]
+    rows += [(i, f"http://{rng.choice('pq')}.net/" + "/".join(rng.choice(("x", "y", "z", "v1", "")) for _ in range(rng.randrange(8)))) for i in range(400, 2400)]
+    rows += [(i, "http://long.net/" + "s/" * 60 + ("bad", "fine")[i % 2] + f"/{i}") for i in range(2400, 2500)]
+    quality = lambda i, u: 0 if "casino" in u or "bad/" in u or "x/y" in u and rng.random() < 0.8 or rng.random() < 0.1 else 1
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, quality(i, u), None) for i, u in rows if i % 5], "doc_id long, quality int, toxic int")
+    got = judge_urls(pages, labels)
+    by = {r.page_id: r for r in got.collect()}
+    assert {by[i].verdict for i in range(0, 400, 4)} == {"block"} and {by[i].verdict for i in range(400) if i % 4} == {"allow"}
+    assert by[0].template.startswith("/*/*/*/casino/") and all(by[i].verdict == ("block", "allow")[i % 2] for i in range(2400, 2500))
+    con = duckdb.connect()
+    con.register("all_pages", pages.toArrow())
+    con.execute("CREATE VIEW pages AS SELECT * FROM all_pages WHERE page_id < 2400")
+    con.register("labels", labels.toArrow())
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT page_id, verdict, template FROM ({judge_urls_sql(depth=8)})").fetchall()}
+    less = judge_urls(pages.where("page_id < 2400"), labels.where("doc_id < 2400")).collect()
+    assert {r.page_id: (r.verdict, r.template) for r in less} == want and len({t for _, t in want.values()}) > 10
