@@ -3,8 +3,8 @@
 The standard library's streaming parser turns a page into lines, one per block element's run of text. A line's
 text-to-tag ratio is its characters, links' left out, over the tags met since the line before. The ratios are
 smoothed with a Gaussian window; lines above a threshold (the ratios' standard deviation, but no more than their
-mean) are content, and the innermost container that holds most of the content's characters is the content region.
-Lines of the region are kept whatever their own ratio, so short paragraphs of an article stay; lines inside
+mean) are content, and the smallest container that holds every line which is content by its own ratio too is the
+content region; if all of these are in articles, the articles are. Lines of the region are kept whatever their own ratio, so short paragraphs of an article stay; lines inside
 elements that are by their tag, role, class or id no content (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, comments) are never kept; a class or id is not believed if the element holds an article or
 the page's main heading.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -177,32 +176,30 @@ def closed(html: str) -> str:
     return html
 
 
-def main_text(html: str, sigma: float = 1.0, share: float = 0.75) -> str:
+def main_text(html: str, sigma: float = 1.0) -> str:
     """The content region's lines, joined by an empty line."""
     parser = Lines()
     parser.feed(closed(html))
     parser.close()
     parser.flush()
-    lines = [line for line, marks in zip(parser.lines, parser.marks) if parser.cleared.issuperset(marks)]
-    if not lines:
+    found = [(line, set(marks)) for line, marks in zip(parser.lines, parser.marks) if parser.cleared.issuperset(marks)]
+    if not found:
         return ""
-    ratios = smooth([max(0, len(t) - linked) / max(1, tags) for t, linked, tags, _, _ in lines], sigma)
+    own = [max(0, len(t) - linked) / max(1, tags) for (t, linked, tags, _, _), _ in found]
+    ratios = smooth(own, sigma)
     mean = sum(ratios) / len(ratios)
     bar = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
-    content = [r >= bar for r in ratios]
-    mass: Counter = Counter()
-    for (text, _, _, path, _), yes in zip(lines, content):
-        if yes:
-            for node in path:
-                mass[node] += len(text)
-    total = mass[0]
-    region = max((node for node in mass if mass[node] >= share * total), default=0)  # containers are numbered from the outside
-    articles = any(a and yes for (*_, a), yes in zip(lines, content))
-    if articles:  # an article is never cut down to one of its parts
-        inside = sum(len(t) for (t, *_, a), yes in zip(lines, content) if a and yes)
-        if inside >= 0.25 * total:
-            return "\n\n".join(t for t, _, _, _, a in lines if a)
-    return "\n\n".join(t for t, _, _, path, _ in lines if region in path)
+    content = [line for line, r in zip(found, ratios) if r >= bar]
+    sure = [line for line, r, o in zip(found, ratios, own) if r >= bar and o >= bar] or content  # not by their neighbours alone
+    if any(line[4] for line, _ in content):
+        # Beside an article a class or id is believed again, unless it is of what holds an article.
+        held = set().union(*(marks for line, marks in found if line[4]))
+        sure = [(line, marks) for line, marks in sure if line[4] or marks <= held]
+        if all(line[4] for line, _ in sure):  # an article is never cut down to one of its parts
+            return "\n\n".join(line[0] for line, _ in found if line[4])
+        sure += [(line, marks) for line, marks in found if line[4]]
+    region = max(set.intersection(*(set(line[3]) for line, _ in sure)), default=0)  # containers are numbered from the outside
+    return "\n\n".join(line[0] for line, _ in found if region in line[3])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

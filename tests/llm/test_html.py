@@ -52,6 +52,21 @@ def test_content_region_without_article():
     assert len(got) == 7 and got[-1] == "End."
 
 
+def words(n, name):
+    return "".join(f"<p>{f'{name} ' * 40}{i}</p>" for i in range(n))
+
+
+def test_no_content_is_dropped_for_what_holds_more():
+    menu = f"<div><ul>{'<li><a href=x>link</a>' * 20}</ul></div>"
+    for one, two in (("section", "section"), ("div", "section"), ("article", "div")):
+        got = main_text(f"<body>{menu}<div><{one}>{words(8, 'first')}</{one}><{two}>{words(2, 'second')}<p>End.</p></{two}></div></body>").split("\n\n")
+        assert len(got) == 11 and got[-1] == "End." and "link" not in got
+    few = main_text(f"<body>{menu}<div><article>{words(3, 'first')}</article><div>{words(7, 'second')}</div></div></body>").split("\n\n")
+    assert len(few) == 10
+    beside = main_text(f"<body>{menu}<div><article>{words(3, 'first')}</article><div><a href=x>{'read on ' * 9}</a></div></div></body>").split("\n\n")
+    assert len(beside) == 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="<>/abdivp &;=\"'!-", max_size=80))
 def test_any_markup_is_read(text):
