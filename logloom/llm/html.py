@@ -1,23 +1,28 @@
 """Main text of HTML pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's streaming parser turns a page into lines, one per block element's run of text. A line's
-text-to-tag ratio is its characters, links' left out, over the tags met since the line before. The ratios are
-smoothed with a Gaussian window; lines above a threshold (the ratios' standard deviation, but no more than their
-mean) are content, and the smallest container that holds every line which is content by its own ratio too is the
-content region; if all of these are in articles, the articles are. Lines of the region are kept whatever their own ratio, so short paragraphs of an article stay; lines inside
-elements that are by their tag, role, class or id no content (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, comments) are never kept; a class or id is not believed if the element holds an article or
-the page's main heading.
+text-to-tag ratio is its characters, links' left out, over the tags met since the line before. The ratios are smoothed with a Gaussian window; lines at or above a threshold (the ratios' standard
+deviation, but no more than their mean) cluster into content. The content region is the smallest container that holds
+all lines which are content by their own ratio too, and every article with content; if no such line lies outside the
+articles, it is the articles with content. A region's lines stay whatever their own ratio, so short paragraphs do.
+
+Tags, roles, classes and ids are features of the ratio. What they strongly hint to be no content (menus, headers,
+footers, sidebars, notices, adverts, forms, comments) has the ratio HINTED, which is under every threshold and takes
+no part in the smoothing; what they weakly hint at (sharing, related, search) is kept in a region only if its own
+ratio reaches the threshold. A class, an id or a form is not believed if it holds the article or the page's main
+heading. Scripts and styles are no text.
 
 A null html is an empty one and gives an empty text; so does a page without text. Rows that repeat a page are each
-extracted; a null page_id or url is kept. Pages may have any length: the parser holds one page. An empty table gives
-an empty result; other columns are not read."""
+extracted; a null page_id or url is kept. Pages may have any length and nesting, in time linear in both: the parser
+holds one page. An empty table gives an empty result; other columns are not read."""
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -28,22 +33,27 @@ from .common import slices
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head script style noscript template iframe object svg math canvas audio video select textarea button datalist".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
+SKIPPED = frozenset("head script style noscript template iframe object svg canvas audio video select textarea button datalist".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog".split())
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address header hgroup details summary fieldset hr center nav footer aside form menu dialog".split())
 CONTAINERS = frozenset("html body main article section div td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc header masthead footer copyright comment comments disqus respond reply replies share sharing social related recommended recommendations widget toolbar search skip".split()
-)
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+MARKS = COMMENTS | frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead footer copyright toolbar skip".split())
+#: These may as well name a part of the article.
+WEAK = frozenset("share sharing social related recommended recommendations widget search toc".split())
 #: An article's own heading, which classes may call a header.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 WHOLE = frozenset("html body main article".split()) | HEADINGS
 #: Elements that an open p ends at.
 ENDS_P = BLOCKS - {"html", "body"}
+#: Elements that the next of their kind ends, unless one of these opened since.
+ENDED_BY_NEXT = {t: ("ul", "ol", "dl", "table", "select") for t in ("li", "dt", "dd", "tr", "td", "th", "option")}
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
+HINTED = -1.0
+
 
 def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
     """By its tag, its role, or because it is hidden."""
@@ -54,29 +64,49 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bo
     return any(name == "role" and value and value.lower().strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
 
 
-def is_marked(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    """By its class or id. In an article `header` is no mark, as its heading is often in one."""
-    if tag in WHOLE:
-        return False
-    words = {w for name, value in attrs if name in ("class", "id") and value for w in WORDS.findall(value.lower())}
-    return not (MARKS - {"header"} if in_article else MARKS).isdisjoint(words)
+def marks_of(attrs: list[tuple[str, str | None]]) -> set[str]:
+    return {w for name, value in attrs if name in ("class", "id") and value for w in WORDS.findall(value.lower())}
+
+
+@dataclass
+class Hint:
+    """An element that is no content by its tag or marks. What it holds may show that its marks mislead."""
+
+    parent: int  # the hint it is in, or -1
+    weak: bool
+    sure: bool  # nothing that it holds clears it
+    by_heading: bool = False  # it holds the page's main heading
+    by_article: bool = False  # it holds an article
+
+
+@dataclass
+class Line:
+    text: str
+    linked: int  # characters in links
+    tags: int
+    container: int
+    article: int  # the outermost article it is in, or -1
+    hint: int  # the innermost hint it is in, or -1
 
 
 class Lines(HTMLParser):
-    """Collects (text, link characters, tags, path of containers, article depth) per line."""
+    """Collects a page's lines. Containers are numbered as they open, so what a container holds has the numbers from
+    its own to its last; `last` and `parent` have them by number."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, drops its text, is a container, is marked
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, drops its text, is a container, is a hint
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
+        self.blocks: list[int] = []  # places of block elements in the stack
         self.dropped = 0  # open elements that drop their text
-        self.marked: list[int] = []  # numbers of the open elements that class or id mark
-        self.cleared: set[int] = set()  # of those that hold the article or the page's heading after all
+        self.hints: list[Hint] = []
+        self.open_hints: list[int] = []
+        self.judged = [0, 0]  # how many of the open hints are known to hold a heading, an article
         self.links = 0
-        self.articles = 0
-        self.path: list[int] = [0]  # numbers of the open containers
-        self.next = 1
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.marks: list[tuple[int, ...]] = []  # of each line
+        self.parent, self.last = [-1], [0]
+        self.container = 0
+        self.articles: list[int] = []  # containers of the open articles
+        self.lines: list[Line] = []
         self.text: list[str] = []
         self.linked = 0
         self.tags = 0
@@ -85,11 +115,19 @@ class Lines(HTMLParser):
         text = SPACE.sub(" ", "".join(self.text)).strip()
         self.text.clear()
         if text:
-            self.lines.append((text, self.linked, self.tags, tuple(self.path), self.articles > 0))
-            self.marks.append(tuple(self.marked))
+            self.lines.append(Line(text, self.linked, self.tags, self.container, self.articles[0] if self.articles else -1, self.open_hints[-1] if self.open_hints else -1))
             self.tags = 0
         self.linked = 0
 
+    def clear(self, kind: int) -> None:
+        """What is open holds a heading (0) or an article (1). Those under the count of `judged` are known to."""
+        for i in self.open_hints[self.judged[kind] :]:
+            if kind:
+                self.hints[i].by_article = True
+            else:
+                self.hints[i].by_heading = True
+        self.judged[kind] = len(self.open_hints)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS:
@@ -98,24 +136,37 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        if tag in ENDS_P:
-            self.end("p", inside=BLOCKS)
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            self.end(tag, inside=frozenset(("ul", "ol", "dl", "table", "select")))
-        drops = tag in SKIPPED or is_boilerplate(tag, attrs, self.articles > 0)
-        if tag in ("main", "article", "h1"):
-            self.cleared.update(self.marked)
-        marked = not drops and is_marked(tag, attrs, self.articles > 0)
-        self.stack.append((tag, drops, tag in CONTAINERS, marked))
-        if marked:
-            self.marked.append(self.next)
-            self.next += 1
+        if tag in ENDS_P and self.at["p"] and self.blocks[-1] == self.at["p"][-1]:
+            self.end("p")
+        if tag in ENDED_BY_NEXT and self.at[tag] and not any(self.at[x] and self.at[x][-1] > self.at[tag][-1] for x in ENDED_BY_NEXT[tag]):
+            self.end(tag)
+        inside = bool(self.articles)
+        marks = marks_of(attrs) if tag not in HEADINGS else set()
+        comment = not marks.isdisjoint(COMMENTS) and (tag not in WHOLE or tag == "article")
+        if tag in ("main", "article") and not comment and not inside:
+            self.clear(1)
+        if tag == "h1" and not inside:
+            self.clear(0)
+        by_tag = is_boilerplate(tag, attrs, inside) or comment
+        by_mark = tag not in WHOLE and not (MARKS - {"header", "disclaimer", "copyright"} if inside else MARKS).isdisjoint(marks)
+        weak = tag not in WHOLE and not WEAK.isdisjoint(marks)
+        hint = by_tag or by_mark or weak or tag == "form"
+        drops = tag in SKIPPED
+        self.stack.append((tag, drops, tag in CONTAINERS, hint))
+        self.at[tag].append(len(self.stack) - 1)
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack) - 1)
+        if hint:
+            self.open_hints.append(len(self.hints))
+            self.hints.append(Hint(self.open_hints[-2] if len(self.open_hints) > 1 else -1, weak and not (by_tag or by_mark or tag == "form"), by_tag))
         self.dropped += drops
         self.links += tag == "a"
-        self.articles += tag in ("article", "main")
         if tag in CONTAINERS:
-            self.path.append(self.next)
-            self.next += 1
+            self.parent.append(self.container)
+            self.container = len(self.parent) - 1
+            self.last.append(self.container)
+            if tag in ("article", "main"):
+                self.articles.append(self.container)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # on HTML elements the slash means nothing
@@ -126,27 +177,34 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        if tag not in VOID:
+        if tag not in VOID and self.at[tag]:
             self.end(tag)
 
-    def end(self, tag: str, inside: frozenset[str] = frozenset()) -> None:
-        """Closes the last open `tag` and what is open in it; not beyond an open element of `inside`."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                break
-            if self.stack[i][0] in inside:
-                return
-        else:
-            return
-        while len(self.stack) > i:
-            name, drops, container, marked = self.stack.pop()
-            if marked:
-                self.marked.pop()
+    def end(self, tag: str) -> None:
+        """Closes the last open `tag` and what is open in it."""
+        until = self.at[tag][-1]
+        while len(self.stack) > until:
+            name, drops, container, hint = self.stack.pop()
+            self.at[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            if hint:
+                self.open_hints.pop()
+                self.judged = [min(n, len(self.open_hints)) for n in self.judged]
             self.dropped -= drops
             self.links -= name == "a"
-            self.articles -= name in ("article", "main")
             if container:
-                self.path.pop()
+                if name in ("article", "main"):
+                    self.articles.pop()
+                self.last[self.container] = len(self.parent) - 1
+                self.container = self.parent[self.container]
+
+    def finish(self) -> None:
+        self.close()
+        self.flush()
+        while self.stack:
+            self.end(self.stack[-1][0])
+        self.last[0] = len(self.parent) - 1
 
     def handle_data(self, data):
         if not self.dropped:
@@ -154,6 +212,16 @@ class Lines(HTMLParser):
             if self.links:
                 self.linked += len(data)
 
+    def hinted(self, by_article: bool) -> list[tuple[bool, bool]]:
+        """(strongly, weakly) of each hint with those around it. by_article: only an article clears marks."""
+        out: list[tuple[bool, bool]] = []
+        for h in self.hints:  # a hint comes after the one it is in
+            strong, weak = out[h.parent] if h.parent >= 0 else (False, False)
+            if h.sure or not (h.by_article or h.by_heading and not by_article):
+                strong, weak = strong or not h.weak, weak or h.weak
+            out.append((strong, weak))
+        return out
+
 
 def smooth(values: list[float], sigma: float) -> list[float]:
     """Gaussian smoothing; at the ends the window is cut and its weights sum to 1."""
@@ -176,30 +244,42 @@ def closed(html: str) -> str:
     return html
 
 
-def main_text(html: str, sigma: float = 1.0) -> str:
+def threshold(ratios: list[float]) -> float:
+    mean = sum(ratios) / len(ratios)
+    return min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
+
+
+def main_text(html: str, sigma: float = 1.0, bar_of: Callable[[list[float]], float] = threshold) -> str:
     """The content region's lines, joined by an empty line."""
-    parser = Lines()
-    parser.feed(closed(html))
-    parser.close()
-    parser.flush()
-    found = [(line, set(marks)) for line, marks in zip(parser.lines, parser.marks) if parser.cleared.issuperset(marks)]
-    if not found:
+    page = Lines()
+    page.feed(closed(html))
+    page.finish()
+    lines = page.lines
+    if not lines:
         return ""
-    own = [max(0, len(t) - linked) / max(1, tags) for (t, linked, tags, _, _), _ in found]
-    ratios = smooth(own, sigma)
-    mean = sum(ratios) / len(ratios)
-    bar = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
-    content = [line for line, r in zip(found, ratios) if r >= bar]
-    sure = [line for line, r, o in zip(found, ratios, own) if r >= bar and o >= bar] or content  # not by their neighbours alone
-    if any(line[4] for line, _ in content):
-        # Beside an article a class or id is believed again, unless it is of what holds an article.
-        held = set().union(*(marks for line, marks in found if line[4]))
-        sure = [(line, marks) for line, marks in sure if line[4] or marks <= held]
-        if all(line[4] for line, _ in sure):  # an article is never cut down to one of its parts
-            return "\n\n".join(line[0] for line, _ in found if line[4])
-        sure += [(line, marks) for line, marks in found if line[4]]
-    region = max(set.intersection(*(set(line[3]) for line, _ in sure)), default=0)  # containers are numbered from the outside
-    return "\n\n".join(line[0] for line, _ in found if region in line[3])
+    with_heading, with_article = page.hinted(False), page.hinted(True)
+    # Beside an article only what holds an article is not believed.
+    some = any(x.article >= 0 and not (x.hint >= 0 and with_heading[x.hint][0]) for x in lines)
+    hints = [(False, False) if x.hint < 0 else (with_article if some and x.article < 0 else with_heading)[x.hint] for x in lines]
+    own = [HINTED if strong else max(0, len(x.text) - x.linked) / max(1, x.tags) for x, (strong, _) in zip(lines, hints)]
+    plain = [i for i, (strong, _) in enumerate(hints) if not strong]
+    level = list(own)
+    for i, r in zip(plain, smooth([own[i] for i in plain], sigma)):
+        level[i] = r
+    bar = bar_of([level[i] for i in plain] or [0.0])
+    content = [i for i, r in enumerate(level) if r >= bar]
+    if not content:
+        return ""
+    sure = [i for i in content if own[i] >= bar] or content  # not by their neighbours alone
+    articles = {lines[i].article for i in content} - {-1}
+    outside = [lines[i].container for i in sure if lines[i].article < 0]
+    if outside:
+        held = outside + [x for a in articles for x in (a, page.last[a])]
+        region = min(held)
+        while page.last[region] < max(held):
+            region = page.parent[region]
+    in_region = [region <= x.container <= page.last[region] if outside else x.article in articles for x in lines]
+    return "\n\n".join(x.text for x, inside, r, (strong, weak) in zip(lines, in_region, own, hints) if inside and (r >= bar or not (strong or weak)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

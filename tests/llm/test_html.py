@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import html as H
+import math
+import random
 import re
 import time
 
@@ -8,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from logloom.llm.html import extract, main_text
+from logloom.llm.html import extract, main_text, smooth, threshold
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,6 +69,42 @@ def test_no_content_is_dropped_for_what_holds_more():
     assert len(beside) == 3
 
 
+def test_the_threshold_selects():
+    """On a page without article or marks: links and short lines around the text stay out because of the threshold,
+    and no line does without one; on pages with an article what hints mark comes back without one."""
+    side = "<div><ul><li><a href=x>one</a><li><a href=x>two</a></ul><p>Short</p></div>"
+    page = f"<body>{side}<div>{words(5, 'text')}<p>End.</p></div>{side}</body>"
+    everything = lambda ratios: -math.inf
+    assert len(main_text(page).split("\n\n")) == 6
+    assert len(main_text(page, bar_of=everything).split("\n\n")) == 12
+    assert main_text(PAGE) != main_text(PAGE, bar_of=everything)
+    assert "cookies" in main_text(PAGE, bar_of=everything) and main_text(page, bar_of=lambda r: math.inf) == ""
+
+
+def test_smoothing_is_gaussian():
+    rng = random.Random(3)
+    values = [rng.random() * 100 for _ in range(40)]
+    for sigma in (0.5, 1.0, 2.5):
+        weight = lambda i, j: math.exp(-((i - j) ** 2) / (2 * sigma**2)) * (abs(i - j) <= math.ceil(3 * sigma))
+        want = [sum(weight(i, j) * v for j, v in enumerate(values)) / sum(weight(i, j) for j in range(40)) for i in range(40)]
+        assert smooth(values, sigma) == pytest.approx(want)
+    assert threshold([1.0, 3.0]) == 1.0 and threshold([10.0, 10.0]) == 0.0 and threshold([0.0, 0.0, 0.0, 100.0]) == 25.0
+
+
+@pytest.mark.parametrize("mark", ["<div>x", "<b>x", '<div class="ad">x<h1>', "<ul><li>x", "<p><b>x", "<article>x", "<form><h1>x", "<li><ul><b>x</li>", "<td>x<table>"])
+def test_nesting_takes_linear_time(mark):
+    began = time.perf_counter()
+    main_text(mark * 100_000)
+    assert time.perf_counter() - began < 8
+
+
+def test_features_of_an_article():
+    page = """<form action=x><div class="search"><a href=q>find</a></div><article><h1>Head</h1><p>Let <math><mi>x</mi></math> be a number of some length, as the text says here.</p>
+<div class="related"><p>Related work is a part of this article and says at some length what others found.</p></div><div class="share"><a href=a>one</a> <a href=b>two</a></div>
+<article class="comment"><p>A reader's words, which go on for as long as the text itself does, or longer.</p></article><ul class=promo><li>Buy</ul></article></form>"""
+    assert main_text(page) == "Head\n\nLet x be a number of some length, as the text says here.\n\nRelated work is a part of this article and says at some length what others found."
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="<>/abdivp &;=\"'!-", max_size=80))
 def test_any_markup_is_read(text):
