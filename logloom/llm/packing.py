@@ -1,8 +1,8 @@
 """Packs token sequences: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
-A document's ids, closed by the end id, are cut at every `size` ids. The pieces are dealt into groups by a hash, so a
-group is a random sample of lengths with about GROUP pieces however many there are, however long a document is, and
-first-fit decreasing runs in each group by itself. The winner of the tree's root is the bin with the most room; the way down
+A document's ids, closed by the end id, are cut at every `size` ids. The pieces are dealt into groups by a hash of
+their row's number, so a group is a random sample of lengths with about GROUP pieces however many there are, however
+long a document is or however often it occurs, and first-fit decreasing runs in each group by itself. The winner of the tree's root is the bin with the most room; the way down
 prefers the left child wherever its best bin still fits, which is the first fit. What stays free is padding; a
 sequence whose fill is a power of two needs none.
 
@@ -12,6 +12,7 @@ is kept. An empty table gives an empty result; other columns are not read."""
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -75,10 +76,18 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
+#: White space of this many characters in a row is left to the slow encoder: the fast one's pattern recurses on it.
+LONG_SPACE = re.compile(r"\s{10000}")
+
+
 @lru_cache(maxsize=2)
 def bpe_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Ids of a tokenizer file, without added special tokens. A `.tiktoken` file of the same name holds the same
-    vocabulary; where there is one, it is used for texts without the special tokens' strings, as it is faster."""
+    """The ids that `tokenizers` gives for a tokenizer file, without added special tokens.
+
+    A `.tiktoken` file of the same name holds the same vocabulary and merges; where there is one, its encoder finds the
+    same ids faster, as both cut texts by one pattern (their classes agree on every code point, which a test goes
+    through) and merge each part by rank. Texts with a special token's string or a very long run of white space are
+    left to `tokenizers`."""
     import base64
     import os
 
@@ -96,7 +105,8 @@ def bpe_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     with open(twin, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [one(t) if any(s in t for s in specials) else np.array(fast.encode_ordinary(t), "<u4") for t in texts]
+    hard = lambda t: any(s in t for s in specials) or len(t) >= 10000 and LONG_SPACE.search(t) is not None
+    return lambda texts: [one(t) if hard(t) else np.array(fast.encode_ordinary(t), "<u4") for t in texts]
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0) -> DataFrame:
@@ -129,7 +139,8 @@ def pack(cut: DataFrame, size: int = 1024, group: int = GROUP, seed: int = 17) -
         base = int(order.column("pack_group")[0].as_py()) << 32
         return order.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
 
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    # Rows of a written table have the same numbers whenever it is read.
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInArrow(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

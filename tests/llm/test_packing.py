@@ -61,6 +61,33 @@ def test_fast_and_slow_encoders_agree():
         assert list(ids) == slow.encode(t, add_special_tokens=False).ids
 
 
+def test_long_runs():
+    encode, slow = bpe_encoder(PATH), Tokenizer.from_file(PATH)
+    for t in ("x" + " " * 2_000_000, "x" + "\n" * 2_000_000, "\u3000" * 50_000 + "y", "ab" * 200_000):
+        assert list(encode([t])[0]) == slow.encode(t, add_special_tokens=False).ids
+
+
+def test_encoders_agree_on_every_code_point():
+    encode, slow = bpe_encoder(PATH), Tokenizer.from_file(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = "".join(f"a{chr(c)}b {chr(c)}{chr(c)}1 {chr(c)}!  {chr(c)}" for c in points[at : at + 4096])
+        assert list(encode([text])[0]) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_equal_rows_go_to_many_groups(spark, monkeypatch):
+    from logloom.llm import packing
+
+    monkeypatch.setattr(packing.pack, "__defaults__", (1024, 64, 17))
+    rows = spark.range(2000, numPartitions=4).selectExpr("cast(null as long) doc_id", "'some words' text")
+    got = pack_documents(rows, PATH).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.sequence_id >> 32, []).append(r)
+    assert len(got) == 2000 and len(groups) == 32 and max(map(len, groups.values())) < 128
+    assert len({(r.sequence_id, r.offset) for r in got}) == 2000
+
+
 def test_odd_rows(spark, docs_frame):
     rows = [(1, None), (2, ""), (None, "no id"), (3, "word " * 5000), (4, "<|endoftext|>")]
     docs = docs_frame(rows, "start", "pack_group")
