@@ -1,89 +1,225 @@
 """Exact top-k inner products by aggregation without random access.
 
-The candidates are cut into blocks and the queries into blocks; each pair of blocks is one task, which keeps, per
-component, a list of the block's values in order. All lists are read from the end that helps a query, to the same
-depth; what was read gives each candidate a lower and an upper bound of its score (a value not yet read lies between
-the list's far end and the last value read). A query stops when few candidates' upper bounds reach the k-th best
-lower bound: those are resolved, all others are out. The blocks' best are merged per query.
+For each query every component is a list of the candidates in the order of that component's share of the score. Lists
+are read from their best ends, STEP entries at a time and to the same depth; what was read of a candidate is its known
+share, and a component not yet read lies between the list's far end and the last value read, which gives a lower and
+an upper bound of its score. A candidate is open while its upper bound reaches the bar, and one of which nothing was
+read is bounded by the sum of the last values read; reading stops when the outsiders cannot qualify and few candidates
+are open (or the lists end). The open ones' scores are then resolved. The bar is the largest k-th best score known so
+far: that of the lower bounds, of the blocks that the task has resolved before, and of a first pass over a bounded
+sample of the candidates, so blocks without good candidates are left early.
+
+Queries are sent to all tasks in blocks of QUERY_CELLS components at most, so what is broadcast has a fixed bound, and
+the candidates are read where they lie: no vector is shuffled, only k rows for each query and task. With more queries
+than a block holds there is a scan of the candidates for each block.
 
 A query is a row whose id is divisible by `every`; a query's own rows are those with its id. Vectors that are null,
 or hold a null or a value that is not finite, and rows without id take no part; only vectors of a query's length are
-its candidates. Equal rows of a query are one query; other repeated rows are candidates each. Ties go to the smaller
-id. An empty table gives an empty result; other columns are not read. A score beyond a long raises OverflowError."""
+its candidates, and vectors of no components score 0. Equal rows of a query are one query; other repeated rows are
+candidates each. Ties go to the smaller id. Components and scores are exact integers of any size: where 64 bits are
+too few, Python's are used. A score beyond a long is returned as the nearest long; `exact_score` has its digits, and
+ranks go by it. An empty table gives an empty result; other columns are not read."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERIES, CANDIDATES = 512, 4096
-
-
-def _exact(lists: np.ndarray, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return lists[rows] @ q
-
-
-def no_random_access(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query, the row numbers of x that may be among its k best of this block, and their scores."""
-    n, d = x.shape
-    if d and n and len(q) and float(np.abs(x).max()) * float(np.abs(q).max()) * d < 2**53:
-        x, q = x.astype(np.float64), q.astype(np.float64)
-    elif d and n and len(q) and int(np.abs(x).max()) * int(np.abs(q).max()) * d >= 2**63:
-        raise OverflowError("a score may not fit into a long")
-    lists = np.sort(x, axis=0)
-    least, most = (lists[0], lists[-1]) if n else (None, None)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    out: list = [None] * len(q)
-    active = np.arange(len(q))
-    depth = min(64, n)
-    while len(active) and n:
-        high, low = lists[n - depth], lists[depth - 1]  # the last values read
-        a, b = up[active], down[active]
-        upper = a @ np.maximum(x, high).T + b @ np.minimum(x, low).T
-        lower = a @ np.where(x >= high, x, least).T + b @ np.where(x <= low, x, most).T
-        own = q_ids[active][:, None] == ids[None, :]
-        lower = np.where(own, lower.min() - 1, lower)
-        bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else lower.min(axis=1)
-        open_ = (upper >= bar[:, None]) & ~own
-        left = open_.sum(axis=1)
-        done = (left <= max(2 * k, n // 16)) | (depth == n)
-        for i in np.flatnonzero(done):
-            rows = np.flatnonzero(open_[i])
-            scores = _exact(x, q[active[i]], rows)
-            best = np.lexsort((ids[rows], -scores))[:k]
-            out[active[i]] = (rows[best], scores[best])
-        active = active[~done]
-        depth = min(2 * depth, n)
-    return [(np.zeros(0, int), np.zeros(0)) if o is None else o for o in out]
+from .common import materialize, tasks_for
+
+QUERY_CELLS, CANDIDATES, SAMPLE, STEP = 1 << 21, 4096, 4096, 1 / 16
+LONG = 2**63 - 1
+
+
+def integers(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * value), exactly: as doubles if these are below 2 ** 53, else as Python's integers."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(values * scale)  # scale is a power of two, so this is exact up to overflow
+    if not scaled.size or float(np.abs(scaled).max()) < 2**53:
+        return scaled
+    exact = [math.floor(v * scale) if abs(v) < 2**60 else int(v) * scale for v in values.ravel().tolist()]
+    out = np.empty(len(exact), object)
+    out[:] = exact
+    return out.reshape(values.shape)
+
+
+def together(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x and q in a type in which sums of their products are exact."""
+    if x.dtype != object and q.dtype != object and x.size and q.size and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < 2**53:
+        return x, q
+    whole = lambda a: a if a.dtype == object else np.array([int(v) for v in a.ravel().tolist()], object).reshape(a.shape)
+    return (x, q) if not (x.size and q.size) else (whole(x), whole(q))
+
+
+@dataclass
+class Reading:
+    """What came of one query's lists: rows that may be among its best, their scores, and the entries read."""
+
+    rows: np.ndarray
+    scores: np.ndarray
+    depth: int
+
+
+def spread(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the values of each of n rows."""
+    if values.dtype != object:
+        return np.bincount(rows.ravel(), values.ravel(), n)
+    out = np.full(n, 0, object)
+    np.add.at(out, rows.ravel(), values.ravel())
+    return out
+
+
+class Lists:
+    """The sorted lists of a block of candidates."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        self.x, self.ids = x, ids
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(x, self.order, axis=0)
+
+    def read(self, q: np.ndarray, own: int, k: int, bar: int | None = None) -> Reading:
+        """The rows whose scores may be among the k best and are not under the bar."""
+        n, kind = len(self.x), self.x.dtype
+        if kind != object and bar is not None and abs(bar) >= 2**60:  # beyond all scores of this type
+            if bar > 0:
+                return Reading(np.zeros(0, int), np.zeros(0), 0)
+            bar = None
+        open_ = self.ids != own
+        used = np.flatnonzero(q)  # other lists say nothing
+        falling, rising = used[q[used] > 0], used[q[used] < 0]  # by the end that is best for the query
+        far = np.zeros(len(q), kind)
+        far[falling], far[rising] = q[falling] * self.sorted[0, falling], q[rising] * self.sorted[-1, rising]
+        known, rest = np.zeros(n, kind), np.full(n, far.sum(), kind)  # shares read; far ends of what was not
+        unread = np.zeros(self.x.shape, kind)
+        unread[:, used] = 1
+        depth, step = 0, max(1, math.ceil(n * STEP))
+        while depth < n and len(used):
+            until = min(n, depth + step)
+            last = np.zeros(len(q), kind)
+            for lists, part, at in ((falling, slice(n - until, n - depth), n - until), (rising, slice(depth, until), until - 1)):
+                if len(lists):
+                    rows = self.order[part, lists]
+                    known += spread(rows, self.sorted[part, lists] * q[lists], n)
+                    rest -= spread(rows, np.broadcast_to(far[lists], rows.shape), n)
+                    unread[rows, lists] = 0
+                    last[lists] = q[lists] * self.sorted[at, lists]
+            depth = until
+            at = np.flatnonzero(open_)
+            if len(at) >= k:
+                best = np.sort(known[at] + rest[at])[-k]
+                bar = best if bar is None or best > bar else bar
+            if bar is not None:
+                open_[at[known[at] + unread[at] @ last < bar]] = False
+            # What nothing was read of is open as long as the last values read reach the bar together.
+            if open_.sum() <= max(2 * k, n // 16):
+                break
+        rows = np.flatnonzero(open_)
+        scores = self.x[rows] @ q
+        if bar is not None:
+            rows, scores = rows[scores >= bar], scores[scores >= bar]
+        best = sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k]
+        return Reading(rows[best], scores[best], depth)
+
+
+class Best:
+    """The k best (score, id) of each query so far."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.held: dict[int, list[tuple]] = {}
+
+    def bar(self, i: int, first: int | None = None) -> int | None:
+        held = self.held.get(i, ())
+        own = -held[-1][0] if len(held) == self.k else None
+        return own if first is None or own is not None and own > first else first
+
+    def add(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        new = [(-int(s), int(v)) for s, v in zip(scores, ids)]
+        if new:
+            self.held[i] = sorted(self.held.get(i, []) + new)[: self.k]
+
+
+def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, which: np.ndarray, best: Best, bars: dict[int, int]) -> None:
+    """Adds a block of candidates to the best of the queries; which: the queries' numbers in `best`."""
+    x, queries = together(x, queries)
+    lists = Lists(x, ids)
+    for q, own, i in zip(queries, query_ids.tolist(), which.tolist()):
+        got = lists.read(q, own, best.k, best.bar(i, bars.get(i)))
+        best.add(i, got.scores, ids[got.rows])
+
+
+def _by_length(ids: pa.Array, vectors: pa.Array, scale: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, places, ids, components) of the vectors of each length."""
+    lens = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    for d in np.unique(lens).tolist():
+        at = np.flatnonzero(lens == d)
+        flat = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        yield d, at, ids.to_numpy(zero_copy_only=False)[at], integers(flat.reshape(len(at), d), scale)
+
+
+def _scan(rows: DataFrame, queries: pa.Table, bars: dict[int, int], k: int, scale: int) -> DataFrame:
+    """(q, query_id, vec_id, exact): k rows at most for each query and task; q is the query's place."""
+    sent = rows.sparkSession.sparkContext.broadcast((queries, bars))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, first = sent.value
+        by_length = {d: (at, ids, v) for d, at, ids, v in _by_length(table.column("id").combine_chunks(), table.column("v").combine_chunks(), scale)}
+        best = Best(k)
+        for b in batches:
+            for start in range(0, b.num_rows, CANDIDATES):
+                part = b.slice(start, CANDIDATES)
+                for d, _, ids, x in _by_length(part.column("id"), part.column("v"), scale):
+                    if d in by_length:
+                        at, q_ids, q = by_length[d]
+                        search(x, ids, q, q_ids, at, best, first)
+        found = [(i, v, str(-s)) for i, held in best.held.items() for s, v in held]
+        q = pa.array([f[0] for f in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([q, table.column("id").combine_chunks().take(q), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.string())], ["q", "query_id", "vec_id", "exact"])
+
+    return rows.mapInArrow(work, "q long, query_id long, vec_id long, exact string")
+
+
+def _bars(found: DataFrame, k: int) -> dict[int, int]:
+    """The k-th best score of each query that has as many; k rows a query of one block at most."""
+    held: dict[int, list[int]] = {}
+    for r in found.toLocalIterator():
+        held.setdefault(r.q, []).append(int(r.exact))
+    return {q: sorted(s)[-k] for q, s in held.items() if len(s) >= k}
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
-    """(query_id, rank, vec_id, score) with score = the inner product of floor(scale * component)."""
+    """(query_id, rank, vec_id, score, exact_score); the score is the inner product of floor(scale * component), and
+    scale a power of two."""
     v = F.col(vector_col)
     fine = v.isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    rows = vectors.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda c: F.floor(c.cast("double") * F.lit(scale)).cast("long")).alias("v"))
-    queries = rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"]).withColumn("q", F.xxhash64("v"))
-    n, m = rows.count(), queries.count()
-    blocks, q_blocks = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(m / QUERIES))
-    part = lambda c, of: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(of)).cast("int")
-    left = queries.select("id", "q", "v", F.size("v").alias("d"), part("id", q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
-    right = rows.select("id", "v", F.size("v").alias("d"), part("id", blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-
-    def meet(qs: pa.Table, xs: pa.Table) -> pa.Table:
-        names = ["query_id", "q", "vec_id", "score"]
-        if not len(qs) or not len(xs):
-            return pa.table([pa.array([], pa.int64())] * 4, names)
-        vecs = [t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1) for t in (qs, xs)]
-        q_ids, ids = qs.column("id").to_numpy(), xs.column("id").to_numpy()
-        found = no_random_access(vecs[1], ids, vecs[0], q_ids, k)
-        count = [len(r) for r, _ in found]
-        rows_, scores = np.concatenate([r for r, _ in found]), np.concatenate([s for _, s in found])
-        return pa.table([np.repeat(q_ids, count), np.repeat(qs.column("q").to_numpy(), count), ids[rows_.astype(int)], scores.astype(np.int64)], names)
-
-    met = left.groupBy("qb", "cb", "d").cogroup(right.groupBy("qb", "cb", "d")).applyInArrow(meet, "query_id long, q long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = vectors.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda c: c.cast("double")).alias("v"))
+    asked = materialize(rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"]).withColumn("cells", F.greatest(F.size("v"), F.lit(1))), "queries")
+    (cells,) = asked.agg(F.coalesce(F.sum("cells"), F.lit(0))).first()
+    blocks = max(1, -(-cells // QUERY_CELLS))
+    n, tasks = rows.count(), tasks_for(vectors.sparkSession)
+    sample = rows.where(F.pmod(F.xxhash64("id", "v", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30)))
+    if n <= 8 * tasks * CANDIDATES:  # few rows lie in few files: all tasks get some
+        rows = rows.repartition(max(1, min(tasks, -(-n // CANDIDATES))))
+    out = None
+    for block in range(blocks):
+        queries = asked.where(F.pmod(F.xxhash64("id", "v", F.lit(7)), F.lit(blocks)) == block).select("id", "v").toArrow()  # about QUERY_CELLS components
+        first = _bars(_scan(sample, queries, {}, k, scale), k) if n > 2 * SAMPLE else {}
+        found = materialize(_scan(rows, queries, first, k, scale).withColumn("block", F.lit(block)), "best")
+        out = found if out is None else out.union(found)
+
+    # Digits compare as numbers by sign, length and text; `nines` turns a negative number's around.
+    exact = F.col("exact")
+    digits = F.ltrim(exact, F.lit("-"))
+    minus = F.startswith(exact, F.lit("-"))
+    size = F.when(minus, -F.length(digits)).otherwise(F.length(digits))
+    nines = F.when(minus, F.translate(digits, "0123456789", "9876543210")).otherwise(digits)
+    order = Window.partitionBy("block", "q").orderBy(F.desc("size"), F.desc("nines"), "vec_id")
+    ranked = out.withColumns({"size": size, "nines": nines}).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = F.coalesce(exact.try_cast("bigint"), F.when(minus, F.lit(-LONG - 1)).otherwise(F.lit(LONG)))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"), exact.alias("exact_score"))
