@@ -11,7 +11,8 @@ and segmentations. Scores are base-10 logarithms.
 The counts of all training documents are used, so they grow with the corpus; they are never collected or broadcast.
 Each task cuts its documents into blocks and writes, once, each block's distinct words and each document as counts of
 the block's words. Words meet the corpus counts by a join and return to their block as a dictionary that is no larger
-than the block. So a frequent word is one row per block, and nothing is grouped by document.
+than the block. So a frequent word is one row per block, and nothing is grouped by document. A word's lattice weights
+travel as 32-bit floats of its log probability, whatever its length: a score is off by a few 1e-8 of itself.
 
 Null texts are empty; a text without words still has its end. A null id is held out unless its hash says otherwise
 (crc32 of the empty string). Null languages are a class of their own. Rows that repeat an id are scored and counted
@@ -31,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import larger, materialize, words_of
+from .common import larger, materialize, tasks_for, words_of
 
 CLASSES, BLOCK_CHARS, BLOCK_WORDS = 8, 24 << 20, 1 << 20
 DISCOUNT, STOP, BYTES = 0.75, 0.3, 1e-3
+#: Words of more characters are looked at one by one.
+LONG = 256
 LN10 = math.log(10)
 
 
@@ -114,6 +117,42 @@ class Pieces:
             alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.cost(codes, i, rows, number))
         return alpha
 
+    def long_edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for one long word (a row of code points): starts, ends and piece numbers, in the order of starts.
+        All places are looked at together, one length of pieces after another."""
+        n = len(codes)
+        h, out = np.zeros(n, np.uint64), []
+        with np.errstate(over="ignore"):
+            for length in range(1, min(n, self.longest) + 1):
+                h = (h[: n - length + 1] + codes[length - 1 :]) * _PRIME
+                key = (h ^ (h >> np.uint64(31))) * _MIX
+                at = np.flatnonzero(self.filter[key >> np.uint64(42)])
+                found = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+                hit = self.keys[found] == key[at]
+                at, number = at[hit], self.order[found[hit]]
+                if length == 1:
+                    other = np.ones(n, bool)
+                    other[at] = False
+                    other = np.flatnonzero(other)
+                    at, number = np.concatenate([at, other]), np.concatenate([number, np.full(len(other), -1)])
+                out.append((at, at + length, number))
+        start, end, number = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order], number[order]
+
+    def long_forward(self, n: int, edges: tuple[np.ndarray, np.ndarray, np.ndarray], cost: np.ndarray, backward: bool = False) -> np.ndarray:
+        """forward() of one long word; backward: from its end."""
+        alpha = [-math.inf] * (n + 1)
+        alpha[n if backward else 0] = 0.0
+        start, end, cost = edges[0].tolist(), edges[1].tolist(), cost.tolist()
+        steps = zip(reversed(end), reversed(start), reversed(cost)) if backward else zip(start, end, cost)
+        for i, j, w in steps:
+            a, b = alpha[j], alpha[i] + w
+            if a < b:
+                a, b = b, a
+            alpha[j] = a if b == -math.inf else a + math.log1p(math.exp(b - a))
+        return np.array(alpha)
+
     def groups(self, words: list[str]):
         """(places in `words`, code points) of words of one length, their start mark before them, in parts."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
@@ -131,9 +170,14 @@ class Pieces:
         models = (self, *others)
         out = np.zeros((len(words), len(models)))
         for part, codes in self.groups(words):
-            edges = self.edges(codes)
+            long = codes.shape[1] > LONG
+            edges = [self.long_edges(row) for row in codes] if long else self.edges(codes)
             for i, m in enumerate(models):
-                out[part, i] = (m.forward(codes, edges)[-1] + math.log(m.stop) - math.log1p(-m.stop)) / LN10
+                if long:
+                    last = np.array([m.long_forward(len(row), e, m.cost(row[e[0]][:, None], 0, np.arange(len(e[0])), e[2]))[-1] for row, e in zip(codes, edges)])
+                else:
+                    last = m.forward(codes, edges)[-1]
+                out[part, i] = (last + math.log(m.stop) - math.log1p(-m.stop)) / LN10
         return out
 
     def expected(self, words: list[str]) -> np.ndarray:
@@ -142,6 +186,15 @@ class Pieces:
         out = np.zeros(len(self.text) + 2)
         out[-2] = len(words)
         for _, codes in self.groups(words):
+            if codes.shape[1] > LONG:
+                for row in codes:
+                    start, end, number = edges = self.long_edges(row)
+                    w = self.cost(row[start][:, None], 0, np.arange(len(start)), number)
+                    alpha, beta = self.long_forward(len(row), edges, w), self.long_forward(len(row), edges, w, backward=True)
+                    share = np.exp(alpha[start] + w + beta[end] - alpha[-1])
+                    out[: len(self.text)] += np.bincount(number[number >= 0], share[number >= 0], len(self.text))
+                    out[-1] += share.sum()
+                continue
             edges = self.edges(codes)
             alpha = self.forward(codes, edges)
             beta = np.full(alpha.shape, -np.inf)
@@ -155,7 +208,7 @@ class Pieces:
         return out
 
     def fitted(self, expected: np.ndarray) -> Pieces:
-        """Weights by expected counts; the scores so far count as one more occurrence of each piece on average."""
+        """Weights by expected counts; the scores so far count as a hundredth of an occurrence of each piece on average."""
         n, words, uses = expected[:-2], expected[-2], expected[-1]
         prior = np.exp(self.weight) * len(n) * 0.01
         total = (n + prior).sum()
@@ -254,13 +307,13 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     final = spark.sparkContext.broadcast(fitted)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each word's weight: log10 of its segmentations' sum in each class that has documents, as half floats,
-        then a (count, class) for each class that has the word."""
+        """Each word's weight: log10 of its segmentations' sum in each class that has documents, as floats, then a
+        (count, class) for each class that has the word."""
         for b in larger(batches):
             table = np.stack([b.column(c).to_numpy() for c in cs], axis=1)
             words = b.column("word").to_pylist()
             first, *others = final.value.values()
-            head = np.maximum(first.log_words(words, tuple(others)), -60000).astype("<f2")
+            head = first.log_words(words, tuple(others)).astype("<f4")
             keyed = (table << 8) | np.arange(CLASSES)
             packed = [h.tobytes() + k[t > 0].astype("<u8").tobytes() for h, k, t in zip(head, keyed, table)]
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(packed, pa.binary()), *(b.column(c) for c in cs)], ["word", "weight", *cs])
@@ -274,7 +327,9 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
         return model.score(left, right)
 
     dictionary = in_words.select("block", "id", "word").join(words.select("word", "weight"), "word").select(F.col("block").alias("of_block"), "id", "weight")
-    met = in_docs.select("block", "doc_id", "held_out", "tokens").groupBy("block").cogroup(dictionary.groupBy("of_block"))
+    # Blocks are of one size, so their number is that of tasks: a task's share does not grow with the table.
+    n = max(tasks_for(spark), 2 * in_docs.select("block").distinct().count())
+    met = in_docs.select("block", "doc_id", "held_out", "tokens").repartition(n, "block").groupBy("block").cogroup(dictionary.repartition(n, "of_block").groupBy("of_block"))
     return met.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -292,7 +347,7 @@ class Model:
         total, distinct = self.words.sum() + n_end, self.distinct + (n_end > 0)
         base_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
         classes = np.flatnonzero(self.documents > 0) if n_end else np.array([0])
-        head = 2 * len(classes)
+        head = 4 * len(classes)
         size = 1 + max(dictionary.column("id").to_numpy().max(initial=-1), -1)
         counts, sub = np.zeros((int(size), CLASSES)), np.zeros((int(size), len(classes)))
         for ids, weights in zip(dictionary.column("id").chunks, dictionary.column("weight").chunks):
@@ -301,7 +356,7 @@ class Model:
             lens = np.fromiter(map(len, raw), np.int64, len(raw))
             flat = np.frombuffer(b"".join(raw), np.uint8)
             starts = np.cumsum(lens) - lens
-            sub[at] = flat[starts[:, None] + np.arange(head)].view("<f2")
+            sub[at] = flat[starts[:, None] + np.arange(head)].view("<f4")
             many = (lens - head) // 8
             for i in range(int(many.max(initial=0))):
                 on = np.flatnonzero(many > i)
