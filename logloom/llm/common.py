@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a session, for tasks that cannot import it from a path of theirs."""
     context = spark.sparkContext
@@ -114,5 +115,13 @@ def with_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tasks_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

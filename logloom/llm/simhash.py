@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import link
-from .common import materialize, runs, slices, tasks_for, with_text, words_of
+from .common import materialize, runs, slices, tasks_for, unused, with_text, words_of
 from .graph import components
 
 PART = 512
@@ -191,5 +191,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs, with all their columns, but those near_duplicates() ties to a smaller id. Rows of one id
     stay or go together; a row without id stays."""
     found = near_duplicates(docs, id_col, text_col, **how)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

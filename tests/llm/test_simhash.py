@@ -111,7 +111,7 @@ def test_near_duplicates(spark, docs_frame):
             for _ in range(c):
                 w[rng.randrange(200)] = word()
             rows.append((g * 10 + c, " ".join(w)))
-    docs = docs_frame([*rows, (900, None), (901, ""), (902, " \n"), (None, rows[0][1])], "key", "node", "component")
+    docs = docs_frame([*rows, (900, None), (901, ""), (902, " \n"), (None, rows[0][1])], "gone", "_gone", "component")
     got = {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()}
     for g in range(12):
         assert all(got[g * 10 + c] == g * 10 for c in range(4)), g
