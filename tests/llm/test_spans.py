@@ -65,8 +65,11 @@ def test_odd_rows(spark, docs_frame):
     assert got[2][0].text == "Own start of two." and [x[:] for x in got[2][0].removed] == [(17, 18 + len(p))]
     assert got[3][0].text == got[4][0].text == "" and got[None][0].text == "" and [r.text for r in got[5]] == ["", ""]
     assert got[6][0].text == "" and 0 < len(got[7][0].text) < 200 and got[8][0].text.strip().endswith("x")
-    alone = dedup_spans(docs_frame([(5, p), (5, p), (6, "x")])).collect()
-    assert [r.text for r in alone if r.doc_id == 5] == [p, p]
+    alone = dedup_spans(docs_frame([(5, p), (5, p), (None, p + "Own end."), (6, "x"), (None, "And more. " + p), (-5, "y")])).collect()
+    assert sorted(r.text for r in alone if r.doc_id == 5) == ["", p]
+    assert sorted(r.text.strip() for r in alone if r.doc_id is None) == ["And more.", "Own end."]
+    nulls = dedup_spans(docs_frame([(None, p + f"Own end of {i}.") for i in range(40)])).collect()
+    assert sum(r.n_removed == 0 for r in nulls) == 1 and all(r.text.endswith(".") for r in nulls)
     assert dedup_spans(docs.limit(0)).count() == 0
 
 
