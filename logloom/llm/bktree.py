@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-LEAF = 16
+LEAF, STEP = 16, 256
 
 
 class BKTree:
@@ -55,6 +55,16 @@ class Labels:
         self.of = np.arange(n)
         self.members: dict[int, list[int]] = {}
 
+    def spanning(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, the smallest node of their component) of all others in components of several."""
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for members in self.members.values():
+            own = nodes[members]
+            least = own.min()
+            us.append(own[own != least])
+            vs.append(np.full(len(us[-1]), least))
+        return np.concatenate(us), np.concatenate(vs)
+
     def join(self, a: int, b: int) -> None:
         x, y = int(self.of[a]), int(self.of[b])
         if x == y:
@@ -67,11 +77,16 @@ class Labels:
         self.members[x] = one
 
 
-def link(prints: np.ndarray, radius: int, own: np.ndarray | None = None, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Labels:
+def link(prints: np.ndarray, radius: int, own: np.ndarray | None = None, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, groups: np.ndarray | None = None) -> Labels:
     """Components of the fingerprints that a chain of pairs within the radius ties. own: which of them the tree
-    holds, the others search in it (None: it holds all, and all search). accept: a further test of pairs. A pair
-    that is tied already is not looked at."""
+    holds, the others search in it (None: it holds all, and all search). accept: a further test of pairs. groups:
+    items of one are tied from the start. A pair that is tied already is not looked at."""
     labels = Labels(len(prints))
+    if groups is not None:
+        order = np.argsort(groups, kind="stable")
+        for i, j in zip(order.tolist(), order[1:].tolist()):
+            if groups[i] == groups[j]:
+                labels.join(i, j)
 
     def found(q: np.ndarray, m: np.ndarray) -> None:
         while True:
@@ -79,13 +94,13 @@ def link(prints: np.ndarray, radius: int, own: np.ndarray | None = None, accept:
             q, m = q[new], m[new]
             if not len(q):
                 return
-            a, b = q[:4096], m[:4096]
+            a, b = q[:STEP], m[:STEP]
             if accept is not None:
                 yes = accept(a, b)
                 a, b = a[yes], b[yes]
             for i, j in zip(a.tolist(), b.tolist()):
                 labels.join(i, j)
-            q, m = q[4096:], m[4096:]
+            q, m = q[STEP:], m[STEP:]
 
     if len(prints) > 1:
         everything = np.arange(len(prints))

@@ -6,12 +6,13 @@ whichever word of a sentence it begins or is edited at. A run is RUN consecutive
 hashed; a run that occurs in several documents is first in the one with the smallest id (and at its first place
 there). Units that any non-first run covers are removed.
 
-A text is parsed once, into a table of its units and runs. Only (hash, row) pairs are shuffled, once per row and
-hash; the first row of each hash is found map-side first, and the joins are plain ones that AQE can split where a
-passage is in a large share of all documents.
+Only (hash, document) pairs are shuffled, once per document and hash; counts combine map-side, and the joins are
+plain ones that AQE can split where a passage is in a large share of all documents. A text is parsed once more only if
+something is removed from it.
 
 Null texts are empty, and nothing is removed from them. Rows that repeat a doc_id are documents of their own, in the
-order in which they are read; rows without id come after all others. Texts of less than a run have no run. An empty
+order in which they are read, and rows without id come after all others; where there are any, the texts are written
+once more with their rows' numbers, so that both passes see the same. Texts of less than a run have no run. An empty
 table gives an empty result; columns other than the id and the text are not read."""
 
 from __future__ import annotations
@@ -102,65 +103,67 @@ def run_hashes(words: list[int], hashes: list[int]) -> tuple[np.ndarray, np.ndar
     return out, after
 
 
+def covered(text: str, away: np.ndarray | None) -> tuple[list[tuple[int, int]], int]:
+    """The spans of the units that runs cover which are not first, and how many units these are. away: hashes of the
+    runs that another document has first."""
+    ends, words, hashes = units(text)
+    run, after = run_hashes(words, hashes)
+    gone = np.ones(len(run), bool)
+    gone[np.unique(run, return_index=True)[1]] = False  # later places in the same document
+    if away is not None:
+        gone |= np.isin(run, away.view(np.uint64))
+    mark = np.zeros(len(ends) + 1, np.int64)
+    np.add.at(mark, np.flatnonzero(gone), 1)
+    np.add.at(mark, after[gone], -1)
+    cover = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+    cut = np.flatnonzero(np.diff(cover) > 1) + 1
+    return [(ends[part[0] - 1] if part[0] else 0, ends[part[-1]]) for part in np.split(cover, cut) if len(part)], len(cover)
+
+
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, removed): each row's text without the removed units; `removed` are
     the code points [start, end) of the text as it was. A row in which nothing is removed has its whole text."""
     rows = with_text(docs, id_col, text_col)
+    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        rows = rows.withColumn("key", F.col("doc_id"))
+    else:
+        # Ids, then rows, as one number.
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        place = F.coalesce("doc_id", F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)") + F.col("row")
+        rows = rows.withColumn("key", place.cast("decimal(38,0)"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 40
         for b in slices(batches, "text"):
-            ends, runs, afters = [], [], []
+            numbers, again, once = [], [], []
             for text in b.column("text").to_pylist():
-                stops, words, hashes = units(text)
-                run, after = run_hashes(words, hashes)
-                ends.append(np.array(stops, np.int32))
-                runs.append(run.view(np.int64))
-                afters.append(after.astype(np.int32))
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (ends, runs, afters)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + b.num_rows)), b.column("doc_id"), b.column("text"), *lists], ["row", "doc_id", "text", "ends", "runs", "after"])
-            number += b.num_rows
-
-    parsed = materialize(rows.mapInArrow(parse, "row long, doc_id long, text string, ends array<int>, runs array<long>, after array<int>"), "units")
-    # A row's place in the order of documents, as one number that is aggregated without a sort: ids, then rows.
-    place = F.coalesce("doc_id", F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)") + F.col("row")
-    runs = parsed.where(F.size("runs") > 0).select("row", place.cast("decimal(38,0)").alias("place"), F.array_distinct("runs").alias("runs")).select("row", "place", F.explode("runs").alias("run"))
-    shared = materialize(runs.groupBy("run").agg(F.min("place").alias("home"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "home"), "shared-runs")
-    away = runs.join(shared, "run").where("place > home").groupBy("row").agg(F.collect_list("run").alias("away"))
-    joined = parsed.join(materialize(away, "away"), "row", "left").select("doc_id", "text", "ends", "runs", "after", "away")
+                _, words, hashes = units(text)
+                run, _ = run_hashes(words, hashes)
+                once.append(np.unique(run))
+                numbers.append(len(words))
+                again.append(len(once[-1]) < len(run))
+            runs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, once)]), pa.int32()), pa.array(np.concatenate(once).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(numbers, pa.int64()), pa.array(again, pa.bool_()), runs], ["key", "units", "again", "runs"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    parsed = materialize(rows.select("key", "text").mapInArrow(parse, f"key {kind}, units long, again boolean, runs array<long>"), "runs")
+    runs = parsed.select("key", F.explode("runs").alias("run"))
+    shared = materialize(runs.groupBy("run").agg(F.min("key").alias("home"), F.max("key").alias("last")).where("last > home").select("run", "home"), "shared-runs")
+    away = runs.join(shared, "run").where("key > home").groupBy("key").agg(F.collect_list("run").alias("away"))
+    told = materialize(parsed.select("key", "units", "again").join(away, "key", "left"), "away")
+    joined = rows.join(told, "key").select("doc_id", "text", "units", "again", "away")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in slices(batches, "text"):
-            out: list[list] = [[], [], [], []]
-            values = lambda cell: cell.values.to_numpy(zero_copy_only=False)
-            for text, ends, run, after, away in zip(b.column("text").to_pylist(), *(b.column(c) for c in ("ends", "runs", "after", "away"))):
-                ends, run, after = values(ends), values(run), values(after)
-                gone = np.zeros(len(run), bool)
-                if len(run):
-                    gone[:] = True
-                    gone[np.unique(run, return_index=True)[1]] = False  # later places in the same document
-                    if away.is_valid:
-                        gone |= np.isin(run, values(away))
-                spans: list[dict] = []
-                removed = 0
-                if gone.any():
-                    mark = np.zeros(len(ends) + 1, np.int64)
-                    np.add.at(mark, np.flatnonzero(gone), 1)
-                    np.add.at(mark, after[gone], -1)
-                    cover = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-                    removed = len(cover)
-                    first = cover[np.r_[True, np.diff(cover) > 1]]
-                    last = cover[np.r_[np.diff(cover) > 1, True]]
-                    spans = [{"start": int(ends[i - 1]) if i else 0, "end": int(ends[j])} for i, j in zip(first.tolist(), last.tolist())]
+            out: list[list] = [[], [], []]
+            for text, again, away in zip(b.column("text").to_pylist(), b.column("again").to_pylist(), b.column("away")):
+                spans, removed = covered(text, away.values.to_numpy() if away.is_valid else None) if again or away.is_valid else ([], 0)
                 at, kept = 0, []
-                for s in spans:
-                    kept.append(text[at : s["start"]])
-                    at = s["end"]
-                for c, v in zip(out, ("".join([*kept, text[at:]]), len(ends), removed, spans)):
+                for start, end in spans:
+                    kept.append(text[at:start])
+                    at = end
+                for c, v in zip(out, ("".join([*kept, text[at:]]), removed, [{"start": x, "end": y} for x, y in spans])):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], kind)], ["doc_id", "text", "n_sentences", "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out[0], pa.string()), b.column("units"), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], ["doc_id", "text", "n_sentences", "n_removed", "removed"])
 
     return joined.mapInArrow(remove, "doc_id long, text string, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>")

@@ -38,8 +38,7 @@ def test_run(spark):
 
 
 def test_simhash_stage_against_an_exact_join(spark):
-    """Of the documents that an exact join of shingle sets removes, none may stay. Others may go that are as similar
-    to one as 0.8 less the slack and four standard errors of the estimate (0.8 - 0.015 - 0.072), one in ten at most."""
+    """The stage keeps what an exact join of shingle sets keeps."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sets, root = {}, {}
     for r in docs.collect():
@@ -52,5 +51,4 @@ def test_simhash_stage_against_an_exact_join(spark):
             root = {k: least if v == other else v for k, v in root.items()}
     gone = {d for d, r in root.items() if r != d}
     got = set(sets) - {r.doc_id for r in P.distinct(spark, docs, SF).collect()}
-    assert gone and gone <= got and len(got - gone) <= len(gone) / 10
-    assert all(max(len(sets[o] & sets[d]) / len(sets[o] | sets[d]) for o in sets if o != d) >= 0.713 for d in got - gone)
+    assert gone and got == gone

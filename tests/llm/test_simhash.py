@@ -138,13 +138,37 @@ def test_near_duplicates_are_of_sets(spark, docs_frame):
     want = {d: min(o for o in sets if o // 10 == d // 10 and similar(d, o) >= 0.8) for d in sets}
     assert all(w == d // 10 * 10 for d, w in want.items())
     got = {r.doc_id: r.component_id for r in S.near_duplicates(docs_frame(rows)).collect()}
-    short = {d for d in want if d >= 400}  # at the bound itself, where the estimate may fail by its error
-    assert {d: got[d] for d in want if d not in short} == {d: want[d] for d in want if d not in short}
-    assert sum(got[d] != want[d] for d in short) <= 0.2 * 160
+    assert got == want
     prints = {d: S.fingerprint(np.unique(S.shingle_hashes(t, 5))) for d, t in rows}
     assert all((prints[d] ^ prints[w]).bit_count() <= 26 for d, w in want.items())
 
 
+def test_pairs_about_the_bound_are_told_by_their_sets(spark, docs_frame, monkeypatch):
+    """Substitutions give similarities from 0.7 to 0.9; cells are cut small."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(25):
+        words = [word() for _ in range(230)]
+        for c in range(8):
+            w = list(words)
+            for _ in range(rng.randrange(9)):
+                w[rng.randrange(230)] = word()
+            rows.append((g * 10 + c, " ".join(w)))
+    sets = {d: frozenset(zip(*(t.split()[i:] for i in range(5)))) for d, t in rows}
+    root = {d: d for d in sets}
+    for d in sets:
+        for o in [o for o in sets if o < d and o // 10 == d // 10]:
+            if root[o] != root[d] and len(sets[o] & sets[d]) >= 0.8 * len(sets[o] | sets[d]):
+                least, other = sorted((root[o], root[d]))
+                root = {k: least if v == other else v for k, v in root.items()}
+    assert 25 < len(set(root.values())) < 150
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(docs_frame(rows)).collect()} == root
+    for cut in ((3, 1 << 20), (512, 6000)):
+        monkeypatch.setattr(S.cells, "__defaults__", cut)
+        assert {r.doc_id: r.component_id for r in S.near_duplicates(docs_frame(rows)).collect()} == root
+
+
 def test_odd_rows(spark, docs_frame):
     docs = docs_frame([(5, "a b c d"), (3, "A B C D"), (3, "a b c d"), (9, "other words are here"), (7, None), (8, ""), (None, "a b c d"), (None, "unlike all else here"), (11, "one"), (12, "x " * 300_000)], "fp", "node", "component_id")
     got = sorted((str(r.doc_id), str(r.component_id)) for r in S.simhash_components(docs).collect())
