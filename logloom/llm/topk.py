@@ -3,11 +3,12 @@
 For each query every component is a list of the candidates in the order of that component's share of the score. Lists
 are read from their best ends, STEP entries at a time and to the same depth; what was read of a candidate is its known
 share, and a component not yet read lies between the list's far end and the last value read, which gives a lower and
-an upper bound of its score. A candidate is open while its upper bound reaches the bar, and one of which nothing was
-read is bounded by the sum of the last values read; reading stops when the outsiders cannot qualify and few candidates
-are open (or the lists end). The open ones' scores are then resolved. The bar is the largest k-th best score known so
-far: that of the lower bounds, of the blocks that the task has resolved before, and of a first pass over a bounded
-sample of the candidates, so blocks without good candidates are left early.
+an upper bound of its score. A candidate is open while its upper bound reaches the bar; one of which nothing was read
+is bounded by the sum of the last values read, so reading stops when outsiders cannot qualify and few candidates are
+open (or the lists end). The open ones' scores are then resolved. The bar is the k-th best lower bound, or the k-th
+best score of the blocks that the task has resolved before or of a first pass over a bounded sample of the candidates,
+so that blocks without good candidates are left early. Bounds are worked out for some queries at once, as products
+with what was read of the lists.
 
 Queries are sent to all tasks in blocks of QUERY_CELLS components at most, so what is broadcast has a fixed bound, and
 the candidates are read where they lie: no vector is shuffled, only k rows for each query and task. With more queries
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tasks_for
 
-QUERY_CELLS, CANDIDATES, SAMPLE, STEP = 1 << 21, 4096, 4096, 1 / 16
+QUERY_CELLS, CANDIDATES, SAMPLE, TOGETHER, STEP = 1 << 21, 4096, 4096, 128, 1 / 8
 LONG = 2**63 - 1
 
 
@@ -66,60 +67,52 @@ class Reading:
     depth: int
 
 
-def spread(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """The sum of the values of each of n rows."""
-    if values.dtype != object:
-        return np.bincount(rows.ravel(), values.ravel(), n)
-    out = np.full(n, 0, object)
-    np.add.at(out, rows.ravel(), values.ravel())
-    return out
-
-
 class Lists:
     """The sorted lists of a block of candidates."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.x, self.ids = x, ids
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(x, self.order, axis=0)
+        order = np.argsort(x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(x, order, axis=0)
+        self.place = np.empty(x.shape, np.int32)  # of each value in its list, from the low end
+        np.put_along_axis(self.place, order, np.arange(len(x), dtype=np.int32)[:, None], axis=0)
 
-    def read(self, q: np.ndarray, own: int, k: int, bar: int | None = None) -> Reading:
-        """The rows whose scores may be among the k best and are not under the bar."""
+    def read(self, q: np.ndarray, own: np.ndarray, k: int, bars: list[int | None]) -> list[Reading]:
+        """For each query the rows whose scores may be among its k best and are not under its bar."""
         n, kind = len(self.x), self.x.dtype
-        if kind != object and bar is not None and abs(bar) >= 2**60:  # beyond all scores of this type
-            if bar > 0:
-                return Reading(np.zeros(0, int), np.zeros(0), 0)
-            bar = None
-        open_ = self.ids != own
-        used = np.flatnonzero(q)  # other lists say nothing
-        falling, rising = used[q[used] > 0], used[q[used] < 0]  # by the end that is best for the query
-        far = np.zeros(len(q), kind)
-        far[falling], far[rising] = q[falling] * self.sorted[0, falling], q[rising] * self.sorted[-1, rising]
-        known, rest = np.zeros(n, kind), np.full(n, far.sum(), kind)  # shares read; far ends of what was not
-        unread = np.zeros(self.x.shape, kind)
-        unread[:, used] = 1
+        out = [Reading(np.zeros(0, int), np.zeros(0), 0)] * len(q)
+        bars = list(bars)
+        if kind != object:  # what is beyond all scores of this type
+            on = np.array([i for i, b in enumerate(bars) if b is None or b < 2**60], int)
+            bars = [None if b is None or b <= -(2**60) else b for b in bars]
+        else:
+            on = np.arange(len(q))
+        rising, falling = np.where(q > 0, q, 0), np.where(q < 0, q, 0)  # by the end that is best for the query
+        open_ = own[:, None] != self.ids[None, :]
         depth, step = 0, max(1, math.ceil(n * STEP))
-        while depth < n and len(used):
-            until = min(n, depth + step)
-            last = np.zeros(len(q), kind)
-            for lists, part, at in ((falling, slice(n - until, n - depth), n - until), (rising, slice(depth, until), until - 1)):
-                if len(lists):
-                    rows = self.order[part, lists]
-                    known += spread(rows, self.sorted[part, lists] * q[lists], n)
-                    rest -= spread(rows, np.broadcast_to(far[lists], rows.shape), n)
-                    unread[rows, lists] = 0
-                    last[lists] = q[lists] * self.sorted[at, lists]
-            depth = until
-            at = np.flatnonzero(open_)
-            if len(at) >= k:
-                best = np.sort(known[at] + rest[at])[-k]
-                bar = best if bar is None or best > bar else bar
-            if bar is not None:
-                open_[at[known[at] + unread[at] @ last < bar]] = False
-            # What nothing was read of is open as long as the last values read reach the bar together.
-            if open_.sum() <= max(2 * k, n // 16):
-                break
-        rows = np.flatnonzero(open_)
+        while len(on):
+            depth = min(n, depth + step)
+            high, low = self.place >= n - depth, self.place < depth  # what was read from either end
+            a, b = rising[on], falling[on]
+            unsure = np.array([i for i, j in enumerate(on.tolist()) if bars[j] is None or depth == step], int)
+            if len(unsure):
+                lower = a[unsure] @ np.where(high, self.x, self.sorted[0]).T + b[unsure] @ np.where(low, self.x, self.sorted[-1]).T
+                for i, known in zip(on[unsure].tolist(), lower):
+                    known = np.sort(known[open_[i]])
+                    if len(known) >= k and (bars[i] is None or known[-k] > bars[i]):
+                        bars[i] = known[-k]
+            upper = a @ np.where(high, self.x, self.sorted[n - depth]).T + b @ np.where(low, self.x, self.sorted[depth - 1]).T
+            done = np.zeros(len(on), bool)
+            for at, i in enumerate(on.tolist()):
+                if bars[i] is not None:
+                    open_[i] &= upper[at] >= bars[i]
+                if depth == n or open_[i].sum() <= max(2 * k, n // 16):
+                    done[at] = True
+                    out[i] = self.resolve(q[i], np.flatnonzero(open_[i]), k, bars[i], depth)
+            on = on[~done]
+        return out
+
+    def resolve(self, q: np.ndarray, rows: np.ndarray, k: int, bar: int | None, depth: int) -> Reading:
         scores = self.x[rows] @ q
         if bar is not None:
             rows, scores = rows[scores >= bar], scores[scores >= bar]
@@ -149,9 +142,11 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.nd
     """Adds a block of candidates to the best of the queries; which: the queries' numbers in `best`."""
     x, queries = together(x, queries)
     lists = Lists(x, ids)
-    for q, own, i in zip(queries, query_ids.tolist(), which.tolist()):
-        got = lists.read(q, own, best.k, best.bar(i, bars.get(i)))
-        best.add(i, got.scores, ids[got.rows])
+    for at in range(0, len(queries), TOGETHER):
+        part = slice(at, at + TOGETHER)
+        numbers = which[part].tolist()
+        for i, got in zip(numbers, lists.read(queries[part], query_ids[part], best.k, [best.bar(i, bars.get(i)) for i in numbers])):
+            best.add(i, got.scores, ids[got.rows])
 
 
 def _by_length(ids: pa.Array, vectors: pa.Array, scale: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:

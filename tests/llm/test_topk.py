@@ -40,15 +40,16 @@ def test_reading_stops_early():
     rng = np.random.default_rng(5)
     n, ids = 4096, np.arange(4096)
     plain = np.round(rng.normal(size=(n, 64)) * 128)
-    near = np.concatenate([np.round(plain[:1] * 0.9 + rng.normal(size=(40, 64)) * 20), plain[40:]])
+    steep = np.round(np.exp(rng.normal(size=(n, 3)) * 3))
     exact = lambda x, q: np.sort(x @ q)[-10:][::-1].tolist()
-    few = topk.Lists(near, ids).read(plain[0], -1, 10)
-    assert few.depth < n and few.scores.tolist() == exact(near, plain[0])
+    read = lambda x, ids, q, bar: topk.Lists(x, ids).read(q[None], np.array([-1]), 10, [bar])[0]
+    few = read(steep, ids, np.array([2.0, 1.0, 3.0]), None)
+    assert few.depth <= n / 4 and few.scores.tolist() == exact(steep, np.array([2.0, 1.0, 3.0]))
     # With a bar from elsewhere even a block without near ones is left half-read, and one far below it at once.
     bar = int(exact(plain[1:], plain[0])[-1])
-    some = topk.Lists(plain[1:], ids[1:]).read(plain[0], -1, 10, bar)
+    some = read(plain[1:], ids[1:], plain[0], bar)
     assert some.depth < 0.7 * n and some.scores.tolist() == exact(plain[1:], plain[0])
-    assert topk.Lists(plain[1:], ids[1:]).read(plain[0], -1, 10, 10**9).depth <= n / 16
+    assert read(plain[1:], ids[1:], plain[0], 10**9).depth <= n / 8
 
 
 def test_query_is_its_sql(spark, monkeypatch):
