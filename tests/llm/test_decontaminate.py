@@ -71,6 +71,48 @@ def test_tables(spark, docs_frame):
     assert without_leaks(docs, items.limit(0)).count() == docs.count()
 
 
+def test_short_items_must_be_the_whole_text(spark, docs_frame):
+    docs = docs_frame([(1, "a b c d e"), (2, " Yes. "), (3, "he said yes. and no"), (4, "a")])
+    items = spark.createDataFrame([(1, "a"), (2, "yes.")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()) == [(2, 2), (4, 1)]
+
+
+def test_stretches_and_halves_find_the_same(monkeypatch):
+    from logloom.llm import decontaminate
+
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghij klm") for _ in range(n))
+    start = some(60)
+    items = [(i, start + some(60)) for i in range(40)]
+    text = "".join(rng.choice([start + some(30), items[rng.randrange(40)][1], some(50)]) for _ in range(80))
+    whole = sorted(leaks_in(text, build(items), 120))
+    assert len(whole) > 10
+    for hits in (3000, 200, 20):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        assert sorted(leaks_in(text, build(items), 120)) == whole
+
+
+def test_templated_items_take_bounded_memory_and_linear_time():
+    """Thousands of items with one beginning against texts that repeat it."""
+    import time
+    import tracemalloc
+
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop qrs") for _ in range(n))
+    start = some(60)
+    took = []
+    for n in (300, 600, 1200):
+        index = build([(i, start + some(120)) for i in range(n)])
+        text = "".join(start + some(3) for _ in range(20))
+        tracemalloc.start()
+        began = time.perf_counter()
+        assert leaks_in(text, index, 180) == []
+        took.append(time.perf_counter() - began)
+        assert tracemalloc.get_traced_memory()[1] < 700 << 20
+        tracemalloc.stop()
+    assert took[2] < 6 * took[0] + 5
+
+
 def test_parts_of_long_texts_overlap(monkeypatch):
     from logloom.llm import decontaminate
 
