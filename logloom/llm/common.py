@@ -30,22 +30,33 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Only where none is set, as in tests, a new local one."""
+    """The folder that the driver and all executors share. Where none is set, a new local one in local mode; on a
+    cluster that is an error, as executors do not see each other's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="logloom-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder
 
 
+def _files(df: DataFrame, path: str):
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives the loss of executors."""
+    """df as a Parquet table in the shared folder: it cuts the lineage and survives the loss of executors. The table
+    is deleted when the application ends, if not before."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _files(df, path)
+    fs.deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
@@ -53,8 +64,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that materialize() wrote and no later plan reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.table_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    fs, at = _files(df, df.table_path)
+    fs.delete(at, True)
 
 
 def words_of(text: str) -> list[bytes]:

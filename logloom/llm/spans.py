@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, with_text
+from .common import discard, materialize, slices, with_text
 
 RUN, WORDS, LONG, NEAR = 3, 10, 16, 2
 STOP = re.compile(r"""[.!?]+["')\]»”]*(?=\s)|\n+""")
@@ -150,6 +150,8 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = materialize(runs.groupBy("run").agg(F.min("key").alias("home"), F.max("key").alias("last")).where("last > home").select("run", "home"), "shared-runs")
     away = runs.join(shared, "run").where("key > home").groupBy("key").agg(F.collect_list("run").alias("away"))
     told = materialize(parsed.select("key", "units", "again").join(away, "key", "left"), "away")
+    discard(parsed)
+    discard(shared)
     joined = rows.join(told, "key").select("doc_id", "text", "units", "again", "away")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,9 @@
 
 A path's segments are generalised where they vary: one with a digit becomes `*` and its extension. Then, level by
 level, the branches below a node are merged into `*` unless their share of bad labels differs significantly from
-that of their siblings together (two-proportion z-test; a stricter bound where a node has many branches), down to the
-last segment of the longest path. A template's bad share is smoothed towards its host's, and that towards the whole
+that of their siblings together (two-proportion z-test; its bound Z rises with the number of branches tested, as
+sqrt(Z^2 + 2 ln branches), so that the chance of a false difference at a node stays about the same), down to the last
+segment of the longest path. A template's bad share is smoothed towards its host's, and that towards the whole
 table's (a quarter, where nothing is labelled); from REJECT on, the template's urls are blocked.
 
 The tree is built from counts per host and generalised path, which are aggregated map-side, so a host that has a
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: DEPTH is the SQL's: its levels are written out, so it is the same for paths of that many segments.
-DEPTH, LEAST, MANY, Z, Z_MANY, WEIGHT, REJECT = 3, 5, 16, 1.96, 3.29, 10.0, 0.5
+DEPTH, LEAST, Z, WEIGHT, REJECT = 12, 5, 1.96, 10.0, 0.5
 
 # The rules that come before the method.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -78,7 +79,7 @@ def template_tree(paths: DataFrame) -> DataFrame:
         pooled = F.try_divide(F.col("all_bad").cast("double"), F.col("all_labelled").cast("double"))
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled").cast("double")) + F.try_divide(F.lit(1.0), rest_n.cast("double"))))
         gap = F.abs(F.try_divide(b.cast("double"), F.col("labelled").cast("double")) - F.try_divide(rest_bad.cast("double"), rest_n.cast("double")))
-        own = F.coalesce(F.when(enough & (pooled > 0) & (pooled < 1), gap >= F.when(F.col("branches") > MANY, Z_MANY).otherwise(Z) * spread), F.lit(False))
+        own = F.coalesce(F.when(enough & (pooled > 0) & (pooled < 1), gap >= F.sqrt(Z * Z + 2 * F.ln(F.col("branches").cast("double"))) * spread), F.lit(False))
         named = branch.join(node, ["host", "template"]).select("host", "template", "seg", F.concat("template", F.lit("/"), F.when(own, F.col("seg")).otherwise("*")).alias("longer"))
         tree = tree.join(named, ["host", "template", "seg"], "left").withColumns({"template": F.coalesce("longer", "template"), "at": F.col("at") + F.when(F.col("longer").isNull(), 0).otherwise(1)}).drop("longer", "seg")
         tree = materialize(tree, "level")
@@ -116,12 +117,12 @@ def judge_urls_sql(depth: int = DEPTH, rules=RULES) -> str:
     for i in range(depth):
         t = f"t{i}"
         levels += f"""
-, b{i} AS (SELECT host, template, segs[{i + 1}] AS seg, sum(labelled) AS labelled, sum(bad) AS bad FROM {t} WHERE len(segs) > {i} GROUP BY ALL)
-, n{i} AS (SELECT host, template, count(*) AS branches, sum(labelled) AS al, sum(bad) AS ab FROM b{i} GROUP BY ALL)
-, m{i} AS (SELECT host, template, seg, template || '/' || CASE WHEN labelled >= {LEAST} AND al - labelled >= {LEAST} AND ab > 0 AND ab < al
-    AND abs(bad / labelled - (ab - bad) / (al - labelled)) >= (CASE WHEN branches > {MANY} THEN {Z_MANY}::DOUBLE ELSE {Z}::DOUBLE END) * sqrt((ab / al) * (1 - ab / al) * (1 / labelled + 1 / (al - labelled)))
+, b{i} AS MATERIALIZED (SELECT host, template, segs[{i + 1}] AS seg, sum(labelled) AS labelled, sum(bad) AS bad FROM {t} WHERE len(segs) > {i} GROUP BY ALL)
+, n{i} AS MATERIALIZED (SELECT host, template, count(*) AS branches, sum(labelled) AS al, sum(bad) AS ab FROM b{i} GROUP BY ALL)
+, m{i} AS MATERIALIZED (SELECT host, template, seg, template || '/' || CASE WHEN labelled >= {LEAST} AND al - labelled >= {LEAST} AND ab > 0 AND ab < al
+    AND abs(bad / labelled - (ab - bad) / (al - labelled)) >= sqrt({Z * Z}::DOUBLE + 2 * ln(branches::DOUBLE)) * sqrt((ab / al) * (1 - ab / al) * (1 / labelled + 1 / (al - labelled)))
     THEN seg ELSE '*' END AS longer FROM b{i} JOIN n{i} USING (host, template))
-, t{i + 1} AS (SELECT t.host, t.shape, t.segs, t.labelled, t.bad, coalesce(m.longer, t.template) AS template FROM {t} t LEFT JOIN m{i} m ON m.host = t.host AND m.template = t.template AND len(t.segs) > {i} AND m.seg = t.segs[{i + 1}])"""
+, t{i + 1} AS MATERIALIZED (SELECT t.host, t.shape, t.segs, t.labelled, t.bad, coalesce(m.longer, t.template) AS template FROM {t} t LEFT JOIN m{i} m ON m.host = t.host AND m.template = t.template AND len(t.segs) > {i} AND m.seg = t.segs[{i + 1}])"""
     return f"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS cut FROM pages)
 , r AS (SELECT page_id, CASE WHEN cut > 0 THEN substr(url, cut + 3) ELSE '' END AS rest FROM u)
@@ -129,7 +130,7 @@ WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '
 , s AS (SELECT *, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || regexp_extract(x, '\\.[A-Za-z]+\\z') ELSE x END) AS segs FROM hp)
 , rows_ AS (SELECT *, array_to_string(segs, '/') AS shape FROM s)
 , known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1)
-, t0 AS (SELECT host, shape, segs, count(bad)::DOUBLE AS labelled, coalesce(sum(bad), 0)::DOUBLE AS bad, '' AS template FROM rows_ LEFT JOIN known USING (page_id) GROUP BY host, shape, segs){levels}
+, t0 AS MATERIALIZED (SELECT host, shape, segs, count(bad)::DOUBLE AS labelled, coalesce(sum(bad), 0)::DOUBLE AS bad, '' AS template FROM rows_ LEFT JOIN known USING (page_id) GROUP BY host, shape, segs){levels}
 , tree AS (SELECT host, shape, labelled, bad, template || CASE WHEN len(segs) > {depth} THEN '/**' ELSE '' END AS template FROM t{depth})
 , whole AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) AS prior FROM tree)
 , hosts AS (SELECT host, (sum(bad) + {WEIGHT}::DOUBLE * any_value(prior)) / (sum(labelled) + {WEIGHT}::DOUBLE) AS host_share FROM tree, whole GROUP BY host)
