@@ -36,7 +36,7 @@ def main(args: list[str]) -> int:
             with open(told.schema, encoding="utf-8") as f:
                 text = f.read()
             spark = SparkSession.builder.config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-            print(Database.open(spark, told.root, told.workspace, text).execute_json(sys.stdin.read()))
+            print(Database.open(spark, told.root, told.workspace, text).execute_json(sys.stdin.read(), require_hash=True))
             return 0
     except (OSError, E.EngineError) as e:
         print(e, file=sys.stderr)

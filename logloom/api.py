@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import errors as E
 from .functions.values import float_text, key_text, text_of, typed_key
-from .operators import batch
+from .operators import batch, small
 from .operators.replay import numbered
 from .operators.store import State, Store
 from .plans.request import MAX_LIMIT, Op, Page, Plan, change, compile_read, key_of, matching, page_of, selector, table_of
@@ -31,6 +31,7 @@ class DatabaseOptions:
     root: str
     workspace: str
     schema: DatabaseSchema
+    snapshot_every: int | None = 64  # logs between snapshots; None: only on demand
 
     def __post_init__(self):
         check_workspace(self.workspace)
@@ -44,6 +45,30 @@ def encoded_line(table: TableSchema, tx_id: int, op: str, row: dict[str, object]
     return "\t".join([op, str(tx_id), *values])
 
 
+class _Nothing(Exception):
+    pass
+
+
+def _nothing() -> list[tuple]:
+    raise _Nothing
+
+
+@dataclass(frozen=True)
+class WriteSnapshot:
+    """The table as a batch that is being made sees it."""
+
+    database: Database
+    state: State
+    table: TableSchema
+
+    def live(self) -> DataFrame:
+        return self.database.store.live(self.state, self.table)
+
+    def get_unique_lookup(self, lookup: str, key: object) -> dict | None:
+        got = compile_read(selector.one(self.table.name, lookup, key), self.database.schema, self.live()).collect()
+        return got[0].asDict() if got else None
+
+
 class Database:
     def __init__(self, spark: SparkSession, options: DatabaseOptions):
         self.spark, self.options = spark, options
@@ -234,10 +259,56 @@ class Database:
         return self._append(schema, rows) if rows else []
 
     def _append(self, table: TableSchema, rows: list[tuple]) -> list[AppendResult]:
+        if len(rows) <= small.SMALL:
+            return self._append_small(table, lambda state: rows)
         frame = self.spark.createDataFrame(rows, batch.change_schema(table))
         state, path = self._commit(table, frame, len(rows), dense=True)
         return self._results(table, path)
 
+    def _append_small(self, table: TableSchema, rows_of: Callable[[State], list[tuple]]) -> list[AppendResult]:
+        """A batch that the driver holds: one job reads the rows it can touch, one writes its operations."""
+        names = batch.change_schema(table).names
+        written: list[str] = []
+        told: list[AppendResult] = []
+
+        def make(state: State) -> State:
+            for old in written:  # of a try that lost
+                self.store.files.delete(f"{self.store.root}/{old}")
+            written.clear()
+            changes = [dict(zip(names, r)) for r in rows_of(state)]
+            ops = small.resolve(changes, small.touched(changes, self.store.live(state, table), table), table)
+            written.append(self.store.new_path(table, "log"))
+            lines = [(state.next_tx + i, o["op"], *(o[f] for f in table.fields)) for i, o in enumerate(ops)]
+            self.spark.createDataFrame(lines, batch.op_schema(table)).coalesce(1).write.parquet(f"{self.store.root}/{written[0]}")
+            told[:] = [AppendResult(tx, "put" if op == "R" else "delete", len(encoded_line(table, tx, op, dict(zip(table.fields, values))).encode()) + 1) for tx, op, *values in lines]
+            return self.store.with_log(state, table, written[0], len(lines))
+
+        self.store.commit(make)
+        self._keep_up(table)
+        return told
+
+    def resolve_and_append(self, table: str, resolver: Callable[[WriteSnapshot], list[Plan]]) -> list[AppendResult]:
+        """The changes that the resolver makes of the table as it is: if another writer comes first, it is asked again
+        with the table as it is then. No changes write nothing."""
+        schema = self.schema.table(table)
+
+        def rows_of(state: State) -> list[tuple]:
+            plans = resolver(WriteSnapshot(self, state, schema))
+            if any(p.table != table for p in plans):
+                raise E.InvalidPlan("write_many changes must all belong to the same table")
+            return [self._change(schema, i, p) for i, p in enumerate(plans)]
+
+        try:
+            return self._append_small(schema, lambda state: rows_of(state) or _nothing())
+        except _Nothing:
+            return []
+
+    def _keep_up(self, table: TableSchema) -> None:
+        """A new snapshot once snapshot_every logs came after the last."""
+        entry = self.store.table_state(self.store.state(), table)
+        if self.options.snapshot_every and len(entry.logs) - entry.after_snapshot >= self.options.snapshot_every:
+            self.store.refresh_snapshot(table)
+
     def write_frame(self, table: str, changes: DataFrame) -> int:
         """A batch of any size: changes (seq, kind, lookup, key, fields), of which columns that are not there are
         null. Returns how many operations were written."""
@@ -252,6 +323,7 @@ class Database:
         count = sum(kinds.values())
         if count:
             self._commit(schema, full, count, dense=False)
+            self._keep_up(schema)
         return count
 
     def insert_frame(self, table: str, rows: DataFrame, order: str = "id") -> int:
@@ -352,6 +424,24 @@ class Database:
         entry = self.store.table_state(self.store.state(), self.schema.table(table))
         return entry.snapshot is not None and entry.after_snapshot == len(entry.logs)
 
+    def ensure_current(self, table: str) -> None:
+        """A new snapshot, unless the table has a sound one with all its operations."""
+        entry = self.store.table_state(self.store.state(), self.schema.table(table))
+        self.store.sound.pop(entry.snapshot, None)
+        if not self.store.usable(entry) or not self.snapshot_is_fresh(table):
+            self.store.refresh_snapshot(self.schema.table(table))
+
+    def hold(self, table: str) -> DataFrame:
+        """Keeps the newest live table in memory for reads, until another version is written or held."""
+        return self.store.hold(self.store.state(), self.schema.table(table))
+
+    def let_go(self, table: str) -> None:
+        self.store.let_go(self.schema.table(table))
+
+    def vacuum(self, keep: int = 10, older_than: float = 7 * 86400) -> int:
+        """Deletes old versions and the files that no kept one names."""
+        return self.store.vacuum(keep, older_than)
+
     def compact(self, table: str) -> dict[str, int]:
         return self.store.compact(self.schema.table(table))
 
@@ -369,10 +459,16 @@ class Database:
             raise AttributeError(name)
         return Table(self, name)
 
-    def execute_json(self, request: str) -> str:
-        """A request as the wire has it: integers are decimal strings or JSON integers, floats are finite."""
+    def execute_json(self, request: str, require_hash: bool = False) -> str:
+        """A request as the wire has it: integers are decimal strings or JSON integers, floats are finite.
+        require_hash: a request must carry the hash of the schema that it was made for, or ClientError is raised."""
         try:
-            return json.dumps({"ok": True, "result": _wire(self, json.loads(request))})
+            asked = json.loads(request)
+            if require_hash and not isinstance(asked.get("schema_hash"), str):
+                raise E.ClientError("bridge_failed", "invalid bridge request: missing field `schema_hash`")
+            return json.dumps({"ok": True, "result": _wire(self, asked)})
+        except E.ClientError:
+            raise
         except E.EngineError as e:
             return json.dumps({"ok": False, "error": {"code": e.code, "message": str(e)}})
         except (ValueError, TypeError, KeyError) as e:
@@ -527,7 +623,7 @@ def _wire(db: Database, request: dict):
         return None
     told = lambda r: {"tx_id": str(r.tx_id), "operation": r.operation, "bytes_written": str(r.bytes_written)}
     if op == "write_many":
-        return [told(r) for r in db.write_many([_wire_plan(db, c) for c in request["changes"]])]
+        return [told(r) for r in db.write_many([_wire_plan(db, {"op": c.get("kind"), **c}) for c in request["changes"]])]
     plan = _wire_plan(db, request)
     table = db.schema.table(plan.table)
     got = db.execute(plan)
@@ -551,8 +647,8 @@ def _wire_plan(db: Database, request: dict) -> Plan:
         if key is not None:
             key = _decode(table, lookup, key)
             key = float_text(key) if isinstance(key, float) else key
-    value = {f: _decode(table, f, v) for f, v in (request.get("value") or {}).items()}
+    value = {f: _decode(table, f, v) for f, v in next((request[n] for n in ("row", "patch", "value") if request.get(n)), {}).items()}
     return Plan(ops[request["op"]], table.name, lookup, key, value, request.get("limit"), request.get("cursor"))
 
 
-__all__ = ["MAX_LIMIT", "AppendResult", "Database", "DatabaseOptions", "Key", "Table", "WriteBatch"]
+__all__ = ["MAX_LIMIT", "AppendResult", "Database", "DatabaseOptions", "Key", "Table", "WriteBatch", "WriteSnapshot"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .api import Database
 from .functions.text import segment_name
 from .operators import batch
 from .operators.replay import compacted, live, live_from, lookup_index, numbered, repeated, unique_violations
@@ -352,6 +355,167 @@ def ext_word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.where(F.col("word").isin("the", "of", "and")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Databases: tables written, changed, kept and read back through versions -----------------------------------------------
+
+
+def database(spark: SparkSession, sf_dir: str, *names: str) -> Database:
+    """A new database with the tables, each loaded as one batch; in the shared folder, or a local one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logloom-")
+    db = Database.open(spark, shared, f"db-{uuid.uuid4().hex}", SCHEMA)
+    db.init()
+    for name in names:
+        db.upsert_frame(name, table(spark, sf_dir, name).select(*schema_of(name).fields))
+    return db
+
+
+def some(rows: DataFrame, condition: str, kind: str, lookup: str | None = None, **values) -> DataFrame:
+    return changes(rows.where(condition), kind, lookup, lookup, **values)
+
+
+def changed(db: Database) -> None:
+    """Three batches on customers: patches by a unique name, removals, new rows."""
+    rows = db.live("customers")
+    db.write_frame("customers", some(rows, "cast(id as bigint) % 5 = 0", batch.PATCH, "name", segment=F.lit("PATCHED")))
+    db.write_frame("customers", some(rows, "cast(id as bigint) % 7 = 1", batch.REMOVE, "id"))
+    db.write_frame("customers", some(rows, "cast(id as bigint) % 50 = 3", batch.INSERT, id=F.concat(F.lit("n"), "id"), name=F.concat(F.lit("New "), "name")))
+
+
+CHANGED = f"(WITH t AS ({SQL['customers']}) SELECT id, name, nation_id, acctbal, CASE WHEN {N} % 5 = 0 THEN 'PATCHED' ELSE segment END AS segment FROM t WHERE {N} % 7 <> 1 UNION ALL SELECT 'n' || id, 'New ' || name, nation_id, acctbal, segment FROM t WHERE {N} % 50 = 3)"
+
+
+@query("db_write_and_read", SQL["orders"])
+def db_write_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return database(spark, sf_dir, "orders").live("orders")
+
+
+@query("db_batches", f"SELECT * FROM {CHANGED}")
+def db_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir, "customers")
+    changed(db)
+    return db.live("customers")
+
+
+@query("db_snapshot_and_delta", f"SELECT * FROM {CHANGED}")
+def db_snapshot_and_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot, then the batches: reads join both."""
+    db = database(spark, sf_dir, "customers")
+    db.refresh_snapshot("customers")
+    changed(db)
+    return db.live("customers")
+
+
+@query("db_damaged_snapshot", f"SELECT * FROM {CHANGED}")
+def db_damaged_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot that lost a file is not believed: the log is replayed."""
+    db = database(spark, sf_dir, "customers")
+    changed(db)
+    db.refresh_snapshot("customers")
+    entry = db.store.state().tables["customers"]
+    db.store.files.delete(f"{db.store_root}/{entry.snapshot}/{min(entry.snapshot_files)}")
+    again = Database.open(spark, db.options.root, db.workspace, SCHEMA)
+    return again.live("customers")
+
+
+@query("db_compacted_log", f"SELECT next + row_number() OVER (ORDER BY id) AS tx_id, 'R' AS op, * EXCLUDE (next) FROM (SELECT c.*, (SELECT count(*) + count(*) FILTER ({N} % 5 = 0) + count(*) FILTER ({N} % 7 = 1) + count(*) FILTER ({N} % 50 = 3) FROM ({SQL['customers']})) AS next FROM {CHANGED} c)")
+def db_compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after compaction: the live rows with fresh numbers after all that were given."""
+    db = database(spark, sf_dir, "customers")
+    changed(db)
+    db.compact("customers")
+    return db.log("customers")
+
+
+@query("db_old_version", SQL["customers"])
+def db_old_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as it was before the batches and the compaction."""
+    db = database(spark, sf_dir, "customers")
+    version = db.store.state().version
+    changed(db)
+    db.compact("customers")
+    return db.live("customers", version)
+
+
+@query("db_page", f"SELECT * FROM {CHANGED} WHERE segment = 'PATCHED' ORDER BY id LIMIT 25 OFFSET 50")
+def db_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir, "customers")
+    changed(db)
+    return db.frame(Plan(Op.FIND, "customers", "segment", "PATCHED", limit=25, cursor="50"))
+
+
+@query("db_deep_page", f"SELECT * FROM ({SQL['orders']}) ORDER BY id LIMIT 100 OFFSET 7000")
+def db_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page found by its rows' numbers, as those that begin far on are."""
+    from .plans import request
+
+    rows = database(spark, sf_dir, "orders").live("orders")
+    return request.numbered_page(rows, 7000, 100)
+
+
+@query("db_get_each", f"SELECT * FROM {CHANGED} WHERE name IN ('Customer#000000005', 'Customer#000000008', 'New Customer#000000053', 'nobody')")
+def db_get_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir, "customers")
+    changed(db)
+    return db.get_each("customers", "name", ["Customer#000000005", "Customer#000000008", "New Customer#000000053", "nobody"])
+
+
+@query("db_counts", f"SELECT segment, count(*) AS n FROM {CHANGED} GROUP BY segment")
+def db_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by a lookup, over a table held in memory."""
+    db = database(spark, sf_dir, "customers")
+    changed(db)
+    return db.hold("customers").groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("db_append_many", f"SELECT id, name, nation_id, CASE WHEN id = '1' THEN 1.5 ELSE acctbal END AS acctbal FROM ({SQL['suppliers']}) WHERE id <> '2' UNION ALL SELECT 'x', 'Ann', '9', 0.0")
+def db_append_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw operations that the driver holds: a put of a live row, a put of a new one, two tombstones, one of no row."""
+    db = database(spark, sf_dir, "suppliers")
+    one = db.get_by_id("suppliers", "1")
+    db.append_many("suppliers", [("put", one | {"acctbal": 1.5}), ("put", {"id": "x", "name": "Ann", "nation_id": "9", "acctbal": 0.0}), ("delete", {"id": "2"}), ("delete", {"id": "none"})])
+    return db.live("suppliers")
+
+
+@query("db_small_batch", f"SELECT id, CASE id WHEN '3' THEN (SELECT s_name FROM supplier WHERE s_suppkey = 4) WHEN '4' THEN (SELECT s_name FROM supplier WHERE s_suppkey = 3) ELSE name END AS name, nation_id, acctbal FROM ({SQL['suppliers']}) WHERE id <> '5'")
+def db_small_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that swap two unique names, and a removal by a name, as one batch that the driver holds."""
+    db = database(spark, sf_dir, "suppliers")
+    three, four, five = (db.get_by_id("suppliers", i)["name"] for i in "345")
+    db.write_many([change.edit_id("suppliers", "3", {"name": four}), change.edit("suppliers", "name", four, {"name": three}), change.remove("suppliers", "name", five)])
+    return db.live("suppliers")
+
+
+@query("db_together", f"SELECT 'customers' AS source, count(*) AS n FROM ({SQL['customers']}) WHERE id <> '7' UNION ALL SELECT 'suppliers', count(*) + 1 FROM ({SQL['suppliers']})")
+def db_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of two tables as one version."""
+    db = database(spark, sf_dir, "customers", "suppliers")
+    db.write_together([change.remove_id("customers", "7"), change.add("suppliers", {"id": "x", "name": "Ann", "nation_id": "9", "acctbal": 0.0})])
+    count = lambda name: db.frame(selector.count(name)).select(F.lit(name).alias("source"), "n")
+    return count("customers").union(count("suppliers"))
+
+
+@query("db_segments", f"SELECT * FROM {CHANGED}")
+def db_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as text segments and back."""
+    db = database(spark, sf_dir, "customers")
+    changed(db)
+    folder = f"{db.store_root}/export"
+    db.export_segments("customers", folder)
+    schema = schema_of("customers")
+    return live(segments.read_segments(spark, folder, schema), list(schema.fields), [F.asc("chunk"), F.desc("pos")])
+
+
+@query("db_feed", f"SELECT count(*) AS operations, count(*) AS ids FROM ({SQL['suppliers']})")
+def db_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed of a load and a compaction: each operation once."""
+    from .streaming.watch import feed
+
+    db = database(spark, sf_dir, "suppliers")
+    db.compact("suppliers")
+    folder = f"{db.store_root}-feed"
+    feed(db, "suppliers", f"{folder}/operations", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/operations").agg(F.count(F.lit(1)).alias("operations"), F.count_distinct("id").alias("ids"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a log; the first page of the live rows of one role."""
     schema = schema_of("messages")

@@ -136,4 +136,64 @@ class CommitConflict(EngineError):
 
 
 class FormatError(CorruptData):
-    pass
+    """Of the text log, its lines and its index."""
+
+
+class UnsupportedVersion(FormatError):
+    def __init__(self, expected: int, found: int):
+        super().__init__(f"unsupported format version: expected {expected}, found {found}")
+
+
+class BadColumnCount(FormatError):
+    def __init__(self, expected: int, found: int):
+        super().__init__(f".6 row column count mismatch: expected {expected}, found {found}")
+
+
+class BadMagic(FormatError):
+    def __init__(self, line: str):
+        super().__init__(f".6 file has bad magic: {line}")
+
+
+class BadTx(FormatError):
+    def __init__(self, reason: str):
+        super().__init__(f".6 row has invalid tx id: {reason}")
+
+
+class BadOperation(FormatError):
+    def __init__(self, operation: str):
+        super().__init__(f".6 row has invalid operation: {operation}")
+
+
+class BadValue(FormatError):
+    def __init__(self, field: str, kind: str, value: str):
+        super().__init__(f".6 field `{field}` expected {kind}, got `{value}`")
+
+
+class BadEscape(FormatError):
+    def __init__(self, value: str):
+        super().__init__(f".6 value has bad escape: {value}")
+
+
+class BadRecord(FormatError):
+    def __init__(self, reason: str):
+        super().__init__(f".6 record error: {reason}")
+
+
+class BadIndex(FormatError):
+    def __init__(self, reason: str):
+        super().__init__(f".6b cache error: {reason}")
+
+
+class DecodeError(FormatError):
+    """Of an old JSON log."""
+
+    def __init__(self, reason: str):
+        super().__init__(f"decode error: {reason}")
+
+
+class ClientError(EngineError):
+    """What a client of the JSON interface meets; the code is its own."""
+
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code = code

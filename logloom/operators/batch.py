@@ -78,21 +78,24 @@ def violations(changes: DataFrame, ops: DataFrame, live: DataFrame, table: Table
     out.append(say(exists, 3, "already_exists", text("row `", F.col("id"), f"` already exists in `{table.name}`")))
     twice = ops.groupBy("id").agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n")).where("n > 1")
     out.append(say(twice, 4, "invalid_plan", text("write_many touches row `", F.col("id"), "` more than once")))
-    for u in table.unique_lookups:
-        keys = puts.groupBy(u).agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
+    for u in table.unique_lookups:  # keys are equal as their texts are
+        key = text_of(F.col(u), table.fields[u]).alias("_key")
+        keys = puts.select("seq", key).groupBy("_key").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
         out.append(say(keys.where("n > 1"), 5, "already_exists", F.lit(f"unique lookup `{u}` key is used by multiple rows in one batch")))
-        others = live.join(ops.select("id").distinct(), "id", "left_anti").select(u, F.col("id").alias("_other"))
-        used = keys.join(others, u)
-        out.append(say(used, 5, "already_exists", text(f"unique lookup `{u}` key `", text_of(F.col(u), table.fields[u]), "` is already used by row `", F.col("_other"), "`")))
+        others = live.join(ops.select("id").distinct(), "id", "left_anti").select(key, F.col("id").alias("_other"))
+        used = keys.join(others, "_key")
+        out.append(say(used, 5, "already_exists", text(f"unique lookup `{u}` key `", F.col("_key"), "` is already used by row `", F.col("_other"), "`")))
     return reduce(DataFrame.unionByName, out)
 
 
 def raise_first(found: DataFrame, table: TableSchema) -> None:
     """Raises the first violation, if there is one."""
     first = found.orderBy("stage", "seq").limit(1).collect()
-    if not first:
-        return
-    code, message = first[0].code, first[0].message
+    if first:
+        raise_violation(first[0].code, first[0].message, table)
+
+
+def raise_violation(code: str, message: str, table: TableSchema) -> None:
     if code == "missing_field":
         raise E.MissingField(table.name, message)
     raise {"not_found": E.NotFound, "already_exists": E.AlreadyExists, "invalid_plan": E.InvalidPlan}[code](message)

@@ -44,19 +44,19 @@ def repeated(rows: DataFrame, key: str = "id") -> DataFrame:
 
 def numbered(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """rows with consecutive numbers in an order, without a window over all rows: rows are dealt into ranges, ranges
-    are counted (a row each comes to the driver), and numbers are a range's start and a count within it. The ranges are
-persisted; who has written the result may call its release()."""
+    are counted (a row each comes to the driver), and numbers are a range's start, which is joined as a small table,
+    and a count within it. The ranges are persisted, so that the numbers are those of the counted ranges; who has
+    written the result may call its release()."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).persist()
-    counts = {r[0]: r[1] for r in ranged.groupBy("_range").count().collect()}
     first, total = [], start
-    for part in sorted(counts):
+    for part, count in sorted((r[0], r[1]) for r in ranged.groupBy("_range").count().collect()):
         first.append((part, total))
-        total += counts[part]
-    starts = F.create_map(*[F.lit(x) for pair in first for x in pair]) if first else F.create_map(F.lit(0), F.lit(0))
+        total += count
+    starts = spark.createDataFrame(first, "_range int, _first long")  # a row for each range
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    out = ranged.withColumn(name, (F.element_at(starts, F.col("_range")) + own - 1).cast("long")).drop("_range")
+    out = ranged.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_first") + F.col("_own") - 1).drop("_range", "_own", "_first")
     out.release = ranged.unpersist
     return out
 

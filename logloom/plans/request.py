@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from .. import errors as E
 from ..functions.values import equals, key_text
+from ..operators.replay import numbered
 from ..schema import DatabaseSchema, TableSchema
 
 # The limits of a page.
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
+#: Pages that begin further on are found by their rows' numbers.
+DEEP = 100_000
 
 
 class Op(str, Enum):
@@ -170,12 +173,24 @@ def compile_read(plan: Plan, schema: DatabaseSchema, rows: DataFrame, more: int
     elif plan.op is not Op.SCAN:
         raise E.InvalidPlan(f"{plan.op.value} is no reading plan")
     limit, offset = limit_of(plan), offset_of(plan)
-    if offset + limit + more > 2**31 - 1:  # beyond any page Spark can name
-        return rows.select(*fields).limit(0)
-    return rows.select(*fields).orderBy("id").offset(offset).limit(limit + more)
+    rows = rows.select(*fields)
+    if offset <= DEEP:
+        return rows.orderBy("id").offset(offset).limit(limit + more)
+    return numbered_page(rows, offset, limit + more)
+
+
+def numbered_page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
+    """A page by its rows' numbers. Without them the rows before a page would come to the driver to be dropped."""
+    told = numbered(rows, ["id"], "_nth")
+    page = told.where((F.col("_nth") >= offset) & (F.col("_nth") < offset + limit)).drop("_nth").orderBy("id")
+    page.release = told.release
+    return page
 
 
 def page_of(plan: Plan, schema: DatabaseSchema, rows: DataFrame) -> Page:
-    got = [r.asDict() for r in compile_read(plan, schema, rows, more=1).collect()]  # a page at most
+    page = compile_read(plan, schema, rows, more=1)
+    got = [r.asDict() for r in page.collect()]  # a page at most
+    if hasattr(page, "release"):
+        page.release()
     limit = limit_of(plan)
     return Page(got[:limit], str(offset_of(plan) + limit) if len(got) > limit else None)

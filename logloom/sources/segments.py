@@ -2,21 +2,24 @@
 
 A segment is `SIX 1 table <name> <hash>`, `@field` and `@lookup` lines, `@data`, then `R <tx> <values>` or `D <tx> <id>`
 lines, all tab-separated. Segments are numbered down in base 36, so the oldest is zzz. The log's order is the segments'
-from the oldest on, and the lines' in them. Reading is done whole segment by whole segment (they are about 1 MiB by
-design), which gives exact line numbers and shows an unterminated tail."""
+from the oldest on, and the lines' in them. Old segments have no preamble, or one line of the fields' names, and lines
+without tag. Reading is done whole segment by whole segment (they are about 1 MiB by design), which gives exact line
+numbers and shows an unterminated tail."""
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import errors as E
 from ..functions.text import escape, let, parse, segment_name
 from ..functions.values import text_of
-from ..schema import KINDS, TableSchema
+from ..schema import KINDS, TableSchema, fnv1a
 from .shared import Files
 
 # Fixed values of the format.
@@ -32,14 +35,15 @@ def preamble(table: TableSchema, schema_hash: str) -> str:
 
 
 def check_preamble(text: str, table: TableSchema) -> None:
-    """All but the hash must be the table's own; the hash must be 16 hex digits, so a database may gain tables."""
+    """A text that begins as a preamble must be the table's own but for the hash, which must be 16 hex digits, so a
+    database may gain tables. Other texts are of old segments."""
     want = preamble(table, "0" * 16).split("\n")[:-1]
-    got = text.split("\n")[: len(want)]
+    got = [line.removesuffix("\r") for line in text.split("\n")[: len(want)]]
+    if not got[0].startswith((f"{MAGIC}\t", "@")):
+        return
     head, _, stored = got[0].rpartition("\t")
-    if head != want[0].rpartition("\t")[0] or not re.fullmatch("[0-9a-f]{16}", stored):
-        raise E.FormatError(f"bad header of table `{table.name}`: {got[0]!r}")
-    if got[1:] != want[1:]:
-        raise E.FormatError(f"stored schema of table `{table.name}` differs from the declared one")
+    if head != want[0].rpartition("\t")[0] or not re.fullmatch("[0-9a-fA-F]{16}", stored) or got[1:] != want[1:]:
+        raise E.BadMagic(got[0])
 
 
 def encode(ops: DataFrame, table: TableSchema, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -51,26 +55,27 @@ def encode(ops: DataFrame, table: TableSchema, keep: tuple[str, ...] = ()) -> Da
 
 
 def decode(lines: DataFrame, table: TableSchema, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Lines as (keep, tx_id, op, fields, problem); problem is null for a sound line. A line without tag is a put of
-    transaction 0, as old logs have them."""
+    """Lines as (keep, tx_id, op, fields, problem); problem is null for a sound line, else it is the error's text. A
+    line that does not begin as an operation is a put of transaction 0, as old logs have them."""
     fields = table.struct().fields
 
     def tagged(parts: Column) -> Column:
         tag, tx = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-        has = tag.isin("R", "D") & (F.size(parts) >= 3)
+        has = tag.isin("R", "D") & (F.size(parts) >= 2)  # a torn operation is no old row
         number = F.when(~has, F.lit(0).cast("long")).when(tx.rlike(r"\A\+?[0-9]+\z"), tx.try_cast("bigint"))
-        return F.struct(number.alias("tx_id"), F.when(has, tag).otherwise("R").alias("op"), F.when(has, F.slice(parts, F.lit(3), F.size(parts))).otherwise(parts).alias("values"))
+        return F.struct(number.alias("tx_id"), F.when(has, tag).otherwise("R").alias("op"), F.when(has, F.slice(parts, F.lit(3), F.size(parts))).otherwise(parts).alias("values"), F.when(has & (F.size(parts) < 3), F.lit(True)).otherwise(False).alias("torn"))
 
     def typed(x: Column) -> Column:
         put = x["op"] == "R"
         cells = [F.when(put | F.lit(f.name == "id"), parse(F.get(x["values"], F.lit(i) if f.name != "id" else F.when(put, F.lit(i)).otherwise(F.lit(0))), f.metadata["kind"])).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)]
-        return F.struct(x["tx_id"].alias("tx_id"), x["op"].alias("op"), F.size(x["values"]).alias("n"), *cells)
+        return F.struct(x["tx_id"].alias("tx_id"), x["op"].alias("op"), F.size(x["values"]).alias("n"), x["torn"].alias("torn"), *cells)
 
     def judged(x: Column) -> Column:
         want = F.when(x["op"] == "R", F.lit(len(fields))).otherwise(F.lit(1))
-        bad = F.when(x["tx_id"].isNull(), "bad transaction id").when(x["n"] != want, F.concat(F.lit("bad column count: expected "), want.cast("string"), F.lit(", found "), x["n"].cast("string"))).when(x["id"].isNull(), "bad value of field `id`")
+        count = lambda expected, found: F.concat(F.lit(".6 row column count mismatch: expected "), expected.cast("string"), F.lit(", found "), found.cast("string"))
+        bad = F.when(x["torn"], count(F.lit(3), F.lit(2))).when(x["tx_id"].isNull(), ".6 row has invalid tx id").when(x["n"] != want, count(want, x["n"]))
         for f in fields:
-            bad = bad.when((x["op"] == "R") & x[f.name].isNull(), f"bad value of field `{f.name}`")
+            bad = bad.when(((x["op"] == "R") | F.lit(f.name == "id")) & x[f.name].isNull(), f".6 field `{f.name}` is no {f.metadata['kind']} or has a bad escape")
         return F.struct(*(x[c].alias(c) for c in ("tx_id", "op", *table.fields)), bad.alias("problem"))
 
     # Each step is bound to a variable, so that a predicate on the outcome does not repeat them for each field.
@@ -89,31 +94,54 @@ def read_segments(spark: SparkSession, folder: str, table: TableSchema, mode: st
     schema = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("tx_id", T.LongType()), T.StructField("op", T.StringType()), *table.struct(nullable=True).fields])
     if not names:
         return spark.createDataFrame([], schema)
-    whole = spark.read.text(f"{folder}/*{SUFFIX}", wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.6$", "").alias("chunk"), "value")
+    whole = _whole(spark, folder)
     headless = len(preamble(table, "0" * 16).split("\n")) - 1
     heads = whole.select("chunk", F.array_join(F.slice(F.split("value", "\n", headless + 1), 1, headless), "\n").alias("head"), (~F.endswith("value", F.lit("\n")) & (F.length("value") > 0)).alias("torn"))
     for r in heads.toLocalIterator():  # a header for each file
         check_preamble(r.head, table)
         if r.torn and mode != "recover":
             raise E.CorruptData(f"incomplete tail in segment {r.chunk}")
-    lines = whole.select("chunk", F.posexplode(F.slice(F.split("value", "\n", -1), F.lit(1), F.greatest(F.size(F.split("value", "\n", -1)) - 1, F.lit(0)))).alias("pos", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"\r\z", "")).where((F.col("pos") >= headless) & (F.col("line") != ""))
-    sound = decode(lines, table, ("chunk", "pos"))
+    sound = decode(_lines(whole, table), table, ("chunk", "pos"))
     checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("malformed line in segment "), F.col("chunk"), F.lit(": "), F.col("problem")))).otherwise(F.col("op"))
     return sound.select("chunk", F.col("pos").cast("long").alias("pos"), "tx_id", checked.alias("op"), *table.fields)
 
 
+def _whole(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.text(f"{folder}/*{SUFFIX}", wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.6$", "").alias("chunk"), "value")
+
+
+def _lines(whole: DataFrame, table: TableSchema) -> DataFrame:
+    """(chunk, pos, raw, line) of the operations' lines: complete ones that are not empty, no preamble's and no header.
+    line is raw without its carriage returns at the end."""
+    parts = F.split("value", "\n", -1)
+    lines = whole.select("chunk", F.posexplode(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("pos", "line"))
+    line = F.col("line")
+    return lines.select("chunk", "pos", F.col("line").alias("raw"), F.regexp_replace("line", r"\r+\z", "").alias("line")).where((line != "") & ~F.startswith(line, F.lit(f"{MAGIC}\t")) & ~F.startswith(line, F.lit("@")) & (line != "\t".join(table.fields)))
+
+
+def raw_lines(spark: SparkSession, folder: str, table: TableSchema) -> DataFrame:
+    """(chunk, pos, line) of a folder's operations as they are written, from the oldest segment on."""
+    return _lines(_whole(spark, folder), table).select("chunk", "pos", F.col("raw").alias("line")).orderBy(F.desc("chunk"), "pos")
+
+
+def source_hash(lines: Iterable[tuple[str, str]]) -> str:
+    """The hash that an index is current by: of each operation's segment name, a zero byte and its line with its end.
+    lines: (chunk, line) in the log's order. Each step needs the one before, so this is for interchange only."""
+    return fnv1a(f"{chunk}\0{line}\n".encode() for chunk, line in lines)
+
+
 def write_segments(ops: DataFrame, folder: str, table: TableSchema, schema_hash: str, segment_bytes: int = SEGMENT_BYTES) -> int:
     """Writes ops (tx_id, op, fields) in the order of tx_id as segments; returns how many. Each task's lines are cut
-    into segments by their running size; a line never spans two. Segment numbers go by the tasks' counts."""
+    into segments by their running size; a line never spans two. Segment numbers go by the tasks' counts. The tasks
+    write the segments' texts, the driver only names the files."""
     spark = ops.sparkSession
+    head = preamble(table, schema_hash)
     lines = encode(ops, table, ("tx_id",)).withColumn("size", F.octet_length("line") + 1)
-    from pyspark.sql import Window
-
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = lines.repartitionByRange(n, "tx_id").withColumn("task", F.spark_partition_id()).persist()
+    files, work = Files(spark), f"{folder.rstrip('/')}/.writing-{uuid.uuid4().hex}"
     try:
-        room = segment_bytes - len(preamble(table, schema_hash).encode())
+        room = segment_bytes - len(head.encode())
         own = Window.partitionBy("task").orderBy("tx_id")
         cut = ranged.withColumn("local", F.floor((F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1) / room))
         counts = {r.task: r.n for r in cut.groupBy("task").agg((F.max("local") + 1).alias("n")).collect()}  # a row for each task
@@ -122,15 +150,19 @@ def write_segments(ops: DataFrame, folder: str, table: TableSchema, schema_hash:
             first[task], total = total, total + counts[task]
         if total > 36**3:
             raise E.InvalidInput("more segments than names")
+        if not total:
+            return 0
         starts = spark.createDataFrame(sorted(first.items()), "task int, first long")
         named = cut.join(F.broadcast(starts), "task").withColumn("segment", segment_name(F.col("first") + F.col("local")))
-        body = named.groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tx_id", "line"))), lambda s: s["line"]), "\n").alias("body"))
-        files = Files(spark)
-        head = preamble(table, schema_hash)
-        for r in body.toLocalIterator():  # about 1 MiB each
-            files.publish(f"{folder}/{r.segment}{SUFFIX}", f"{head}{r.body}\n")
+        body = named.groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tx_id", "line"))), lambda s: s["line"]), "\n").alias("body"))  # about 1 MiB each
+        body.select("segment", F.concat(F.lit(head), "body").alias("value")).write.partitionBy("segment").text(work)
+        for part in files.names(work):
+            if part.startswith("segment="):
+                (name,) = [f for f in files.names(f"{work}/{part}") if f.startswith("part-")]
+                files.move(f"{work}/{part}/{name}", f"{folder.rstrip('/')}/{part.removeprefix('segment=')}{SUFFIX}")
         return total
     finally:
+        files.delete(work)
         ranged.unpersist()
 
 

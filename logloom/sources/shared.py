@@ -17,6 +17,10 @@ def local_path(path: str) -> str | None:
     return url.path if url.scheme in ("", "file") else None
 
 
+#: File systems whose rename is one step that fails where the target is. Object stores' are not of this kind.
+ATOMIC_RENAME = frozenset({"hdfs", "viewfs", "webhdfs", "swebhdfs", "ofs", "maprfs"})
+
+
 class Files:
     """The few file operations that the commit protocol needs."""
 
@@ -60,6 +64,9 @@ class Files:
                 os.unlink(temporary)
             return
         fs, p = self._at(path)
+        scheme = fs.getUri().getScheme()
+        if scheme not in ATOMIC_RENAME:
+            raise E.InvalidInput(f"`{scheme}` cannot publish a version in one step; keep the database on one of {sorted(ATOMIC_RENAME)} or a local path")
         temporary = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}")
         out = fs.create(temporary, False)
         try:
@@ -67,10 +74,26 @@ class Files:
             out.hsync()
         finally:
             out.close()
-        if fs.exists(p) or not fs.rename(temporary, p):  # rename keeps an existing file
+        if not fs.rename(temporary, p):  # there is one already
             fs.delete(temporary, False)
             raise E.CommitConflict(path)
 
+    def sizes(self, folder: str) -> dict[str, int]:
+        """Files of a folder and their lengths."""
+        fs, p = self._at(folder)
+        return {s.getPath().getName(): s.getLen() for s in fs.listStatus(p)} if fs.exists(p) else {}
+
+    def modified(self, path: str) -> float:
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getModificationTime() / 1000
+
+    def move(self, source: str, target: str) -> None:
+        fs, p = self._at(source)
+        to = self._at(target)[1]
+        fs.mkdirs(to.getParent())
+        if fs.exists(to) or not fs.rename(p, to):
+            raise E.InvalidInput(f"{target} is there already")
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

@@ -1,8 +1,8 @@
-"""Change feeds over a database's log, by Structured Streaming.
+"""Change feeds over a database's versions, by Structured Streaming.
 
-changes() streams the operations of a table as they are committed: each commit is one Parquet folder, written before
-its manifest. A folder that never got a manifest belongs to a batch that failed; watch() therefore evaluates its plan
-on published versions only."""
+The stream is that of the manifests, one for each version, so what a failed batch or a losing writer left behind is
+never seen. watch() evaluates a plan on new versions; changes() passes on each version's new operations, which
+compaction and snapshots have none of; feed() writes them where a stream of operations can be read from."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..api import Database
 from ..operators.batch import op_schema
+from ..operators.store import State
 from ..plans.request import Plan, compile_read, table_of
 from ..schema import TableSchema
 
@@ -36,9 +38,40 @@ def watch(database: Database, plan: Plan, on_change: Callable[[int, DataFrame],
     return versions(database.spark, database).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def changes(spark: SparkSession, folder: str, table: TableSchema) -> DataFrame:
-    """A stream of the operations (tx_id, op, fields) in a table's folder of logs."""
-    return spark.readStream.schema(op_schema(table)).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.parquet").parquet(folder)
+def new_logs(before: State, after: State, table: TableSchema) -> list[str]:
+    """The logs that a version adds to a table. A version that replaces them (compaction) adds none."""
+    old = before.tables[table.name].logs if table.name in before.tables else []
+    new = after.tables[table.name].logs if table.name in after.tables else []
+    return new[len(old) :] if new[: len(old)] == old else []
+
+
+def changes(database: Database, name: str, on_change: Callable[[int, DataFrame], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Calls on_change(version, operations) for each version that has operations of the table, in the versions' order.
+    After a failure the versions of the last micro-batch may come again."""
+    table, store = database.schema.table(name), database.store
+
+    def each(batch: DataFrame, _: int) -> None:
+        seen = sorted(r.version for r in batch.select("version").collect())  # a number for each manifest of the batch
+        known = set(store.versions()) if seen else set()
+        for version in seen:
+            before = store.state(version - 1) if version - 1 in known else State()
+            if logs := new_logs(before, store.state(version), table):
+                on_change(version, database.spark.read.schema(op_schema(table)).parquet(*(f"{store.root}/{p}" for p in logs)))
+
+    return versions(database.spark, database).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def feed(database: Database, name: str, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Writes each version's operations to folder/version=N, over what a repeated micro-batch wrote there: a feed
+    without repeats, which operations() reads."""
+    write = lambda version, ops: ops.write.mode("overwrite").parquet(f"{folder}/version={version}")
+    return changes(database, name, write, checkpoint, trigger)
+
+
+def operations(spark: SparkSession, folder: str, table: TableSchema) -> DataFrame:
+    """A stream of the operations (tx_id, op, fields, version) of a feed."""
+    schema = T.StructType([*op_schema(table).fields, T.StructField("version", T.LongType())])
+    return spark.readStream.schema(schema).parquet(folder)
 
 
 def live_stream(ops: DataFrame, table: TableSchema) -> DataFrame:

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,11 +230,11 @@ def test_json(db):
     assert code(op="edit", table="all_kinds", lookup="id", key="zz", value={"email": "q"}) == "not_found"
     assert code(op="scan", table="all_kinds", limit=0) == "invalid_plan"
     assert code(op="scan", table="all_kinds", schema_hash="0") == "schema_mismatch"
-    assert ask(op="write_many", changes=[{"op": "edit", "table": "all_kinds", "lookup": "email", "key": "e", "value": {"age": 5}}])["ok"]
+    assert ask(op="write_many", changes=[{"kind": "edit", "table": "all_kinds", "lookup": "email", "key": "e", "patch": {"age": 5}}, {"kind": "set", "table": "all_kinds", "row": row | {"id": "b", "email": "f"}}])["ok"]
 
 
 def test_watch(spark, db, tmp_path):
-    from logloom.streaming.watch import changes, live_stream, watch
+    from logloom.streaming.watch import feed, live_stream, operations, watch
 
     db.insert("users", user(1))
     seen = []
@@ -242,7 +244,171 @@ def test_watch(spark, db, tmp_path):
     db.insert("users", user(2))
     look()
     assert seen == [1, 2]
-    ops = changes(spark, f"{db.store_root}/users", db.schema.table("users"))
-    query = live_stream(ops, db.schema.table("users")).writeStream.outputMode("update").format("memory").queryName("users_live").trigger(availableNow=True).start()
+    db.write_many([change.edit_id("users", "u1", {"name": "new"})])
+    with pytest.raises(E.AlreadyExists):
+        db.insert("users", user(1))
+    db.compact("users")
+    db.users.remove("u2")
+    folder, schema = str(tmp_path / "feed"), db.schema.table("users")
+    for _ in range(2):
+        feed(db, "users", folder, str(tmp_path / "feed-checkpoint")).awaitTermination()
+    told = spark.read.parquet(folder).orderBy("tx_id").collect()
+    assert [(r.op, r.id) for r in told] == [("R", "u1"), ("R", "u2"), ("R", "u1"), ("D", "u2")]
+    query = live_stream(operations(spark, folder, schema), schema).writeStream.outputMode("update").format("memory").queryName("users_live").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert {r.id for r in spark.table("users_live").collect()} == {"u1", "u2"}
+    last = {r.id: r for r in spark.table("users_live").collect()}
+    assert last["u1"].name == "new" and last["u2"].op == "D"
+
+
+def test_torn_and_foreign_manifests(db):
+    db.insert("users", user(1))
+    path = f"{db.store_root}/commit-log/{3:020d}.json".removeprefix("file:")
+    with open(path, "w") as f:
+        f.write('{"version": 3, "nex')
+    with pytest.raises(E.CorruptData, match="bad workspace revision"):
+        db.count("users")
+
+
+def test_damaged_snapshots_are_rebuilt(spark, db):
+    db.insert_many("users", [user(i) for i in range(30)])
+    db.refresh_snapshot("users")
+    entry = db.store.state().tables["users"]
+    for damage in ("lost", "cut"):
+        path = f"{db.store_root}/{db.store.state().tables['users'].snapshot}/{min(db.store.state().tables['users'].snapshot_files)}".removeprefix("file:")
+        os.unlink(path)
+        if damage == "cut":
+            with open(path, "w") as f:
+                f.write("PAR1")
+        again = Database.open(spark, db.options.root, "main", SCHEMA)
+        assert again.count("users") == 30 and again.get_by_id("users", "u7") == user(7)
+        again.ensure_current("users")
+        assert again.store.state().tables["users"].snapshot != entry.snapshot and again.count("users") == 30
+        entry = again.store.state().tables["users"]
+        version = again.store.state().version
+        again.ensure_current("users")
+        assert again.store.state().version == version
+        db = again
+
+
+def test_snapshots_follow_by_themselves(spark, tmp_path):
+    from logloom.api import DatabaseOptions
+    from logloom.schema import parse_schema
+
+    db = Database(spark, DatabaseOptions(str(tmp_path), "auto", parse_schema(SCHEMA), snapshot_every=3))
+    for i in range(7):
+        db.insert("users", user(i))
+    entry = db.store.state().tables["users"]
+    assert entry.snapshot and entry.after_snapshot == 6 and len(entry.logs) == 7 and db.count("users") == 7
+
+
+def test_resolvers_see_what_they_change(spark, db):
+    db.insert("users", user(1, name="a"))
+    other, raced = Database.open(spark, db.options.root, "main", SCHEMA), []
+
+    def longer(snapshot):
+        row = snapshot.get_unique_lookup("email", "1@x")
+        if not raced:
+            raced.append(other.patch_by_id("users", "u1", {"name": "late"}))
+        return [change.edit_id("users", "u1", {"name": row["name"] + "!"})]
+
+    assert db.resolve_and_append("users", longer)[0].tx_id == 3
+    assert db.get_by_id("users", "u1")["name"] == "late!"
+    assert db.resolve_and_append("users", lambda s: []) == [] and db.resolve_and_append("users", lambda s: [change.remove_id("users", "u1")] if s.live().count() == 1 else [])[0].operation == "delete"
+    with pytest.raises(E.InvalidPlan):
+        db.resolve_and_append("users", lambda s: [change.remove_id("notes", "n")])
+
+
+def test_small_batches_are_judged_as_large_ones(spark, db, monkeypatch):
+    from logloom.operators import small
+
+    rng = random.Random(4)
+    rows = [{"id": f"k{i}", "email": f"e{i}", "age": i, "score": float(i - 2), "active": i % 2 == 0} for i in range(6)]
+    db.insert_many("all_kinds", rows)
+    new = lambda: {"id": f"k{rng.randrange(9)}", "email": f"e{rng.randrange(9)}", "age": 1, "score": -0.0, "active": True}
+
+    def one():
+        kind = rng.randrange(4)
+        if kind == 0:
+            return change.set("all_kinds", new())
+        lookup, key = rng.choice([("id", f"k{rng.randrange(8)}"), ("email", f"e{rng.randrange(8)}")])
+        return change.remove("all_kinds", lookup, key) if kind == 1 else change.edit("all_kinds", lookup, key, {"email": f"e{rng.randrange(9)}"} if kind == 2 else {"age": rng.randrange(99)})
+
+    batches = [[one() for _ in range(rng.randrange(1, 5))] for _ in range(8)] + [[change.add("all_kinds", new()) for _ in range(2)] for _ in range(3)]
+    batches += [[change.edit("all_kinds", "email", "e5", {"email": "e4"}), change.edit_id("all_kinds", "k4", {"email": "e5"})], [change.add("all_kinds", new() | {"id": "k50", "email": "e50"})], [change.remove("all_kinds", "email", "e4"), change.set("all_kinds", new() | {"id": "k4", "email": "e4"})]]
+    outcomes = []
+    for most in (1000, 0):
+        monkeypatch.setattr(small, "SMALL", most)
+        own = Database.open(spark, db.options.root, f"w{most}", SCHEMA)
+        own.insert_many("all_kinds", rows)
+        told = []
+        for b in batches:
+            try:
+                told.append([(r.tx_id, r.operation, r.bytes_written) for r in own.write_many(b)])
+            except E.EngineError as e:
+                told.append((type(e), str(e)))
+        outcomes.append((told, sorted(map(tuple, own.live("all_kinds").collect()))))
+    assert outcomes[0] == outcomes[1] and any(isinstance(t, list) for t in outcomes[0][0]) and any(isinstance(t, tuple) for t in outcomes[0][0])
+
+
+def test_zeros_are_different_keys(spark, tmp_path):
+    db = Database.open(spark, str(tmp_path), "z", "t { id id x float lookup x unique }")
+    db.insert_many("t", [{"id": "a", "x": 0.0}, {"id": "b", "x": -0.0}])
+    assert db.get_by("t", "x", "0")["id"] == "a" and db.get_by("t", "x", "-0")["id"] == "b"
+    rows = spark.createDataFrame([("c", 1.0), ("d", -0.0)], "id string, x double")
+    with pytest.raises(E.AlreadyExists, match="already used by row `b`"):
+        db.insert_frame("t", rows)
+    assert db.insert_frame("t", rows.where("x > 0")) == 1
+
+
+def test_deep_pages(db, monkeypatch):
+    from logloom.plans import request
+
+    db.insert_many("users", [user(f"{i:03}") for i in range(60)])
+    want = [db.scan("users", 7, str(c)) for c in (0, 30, 56, 60)]
+    monkeypatch.setattr(request, "DEEP", -1)
+    got = [db.scan("users", 7, str(c)) for c in (0, 30, 56, 60)]
+    assert [(p.rows, p.next_cursor) for p in got] == [(p.rows, p.next_cursor) for p in want] and got[1].next_cursor == "37"
+    assert db.scan("users", cursor=str(2**40)).rows == []
+
+
+def test_held_tables_and_vacuum(spark, db):
+    for i in range(4):
+        db.insert("users", user(i))
+    db.hold("users")
+    assert db.count("users") == 4 and "InMemory" in db.live("users")._jdf.queryExecution().executedPlan().toString()
+    db.insert("users", user(9))
+    assert db.count("users") == 5
+    db.let_go("users")
+    db.compact("users")
+    db.refresh_snapshot("users")
+    assert db.vacuum(keep=1) > 0  # old versions; files are too young
+    assert db.vacuum(keep=1, older_than=-5) == 5 and db.count("users") == 5 and db.store.versions() == [8]
+
+
+def test_client(spark, tmp_path):
+    from logloom.client import Client, UniqueKey, int64
+
+    (tmp_path / "s").write_text(SCHEMA)
+    client = Client(str(tmp_path / "root"), "w", str(tmp_path / "s"))
+    database = Database.open(spark, client.root, "w", SCHEMA)
+    client.invoke = lambda **o: _answer(database, {"schema_hash": client.schema.declared_hash(), **o})
+    row = {"id": "a", "email": "e", "age": 2**62, "score": 1.5, "active": True}
+    client.init()
+    assert client.add("all_kinds", row)["tx_id"] == "1" and client.get(UniqueKey("all_kinds", "email", "e")) == row
+    assert client.find("all_kinds", "age", 2**62) == ([row], None) and client.count("all_kinds") == 1
+    client.edit("all_kinds", UniqueKey("all_kinds", "id", "a"), {"age": -1})
+    assert client.scan("all_kinds", 5)[0][0]["age"] == -1
+    client.remove("all_kinds", UniqueKey("all_kinds", "id", "a"))
+    for code, act in (("invalid_target", lambda: client.edit("users", UniqueKey("notes", "id", "a"), {})), ("integer_out_of_range", lambda: int64(2**63)), ("not_found", lambda: client.remove("all_kinds", UniqueKey("all_kinds", "id", "a"))), ("bridge_failed", lambda: Client(client.root, "w", client.schema_path, ["false"]).count("users")), ("bridge_failed", lambda: Client(client.root, "w", client.schema_path, ["no such program"]).count("users")), ("invalid_response", lambda: Client(client.root, "w", client.schema_path, ["echo"]).count("users"))):
+        with pytest.raises(E.ClientError) as told:
+            act()
+        assert told.value.code == code
+    with pytest.raises(E.ClientError, match="schema_hash"):
+        database.execute_json('{"op": "init"}', require_hash=True)
+
+
+def _answer(database, request):
+    told = json.loads(database.execute_json(json.dumps(request), require_hash=True))
+    if not told["ok"]:
+        raise E.ClientError(told["error"]["code"], told["error"]["message"])
+    return told["result"]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from logloom import errors as E
 from logloom.operators.replay import live
 from logloom.schema import TableSchema
-from logloom.sources.segments import check_preamble, preamble, read_jsonl, read_segments, write_segments
+from logloom.sources.index import Index, decode_index, encode_index
+from logloom.sources.segments import check_preamble, preamble, raw_lines, read_jsonl, read_segments, source_hash, write_segments
 
 TABLE = TableSchema.of("messages", {"body": "text", "created_at": "int", "score": "float", "seen": "bool"}, ["created_at"])
 HASH = "0" * 16
@@ -46,16 +47,50 @@ def test_torn_tails_and_bad_lines(spark, tmp_path):
     with pytest.raises(E.CorruptData):
         read_segments(spark, torn, TABLE)
     assert read_segments(spark, torn, TABLE, "recover").count() == 1
-    for i, line in enumerate(("R\t2\tmissing\n", "R\tx\tm1\thello\t1\t1\ttrue\n", "R\t2\tm1\thel\\qlo\t1\t1\ttrue\n", "R\t2\tm1\thello\t 1\t1\ttrue\n", "R\t2\tm1\thello\t1\t1\tyes\n", "D\t2\tm1\textra\n")):
+    for i, line in enumerate(("R\t2\tmissing\n", "R\tx\tm1\thello\t1\t1\ttrue\n", "R\t2\tm1\thel\\qlo\t1\t1\ttrue\n", "R\t2\tm1\thello\t 1\t1\ttrue\n", "R\t2\tm1\thello\t1\t1\tyes\n", "D\t2\tm1\textra\n", "R\t7\n", "D\t7\n")):
         with pytest.raises(PySparkException):
             read_segments(spark, folder(f"bad{i}", good + line), TABLE).collect()
     old = read_segments(spark, folder("old", "m9\thello\t1\tinf\ttrue\r\n\n"), TABLE).collect()
     assert (old[0].tx_id, old[0].op, old[0].score) == (0, "R", float("inf"))
 
 
+def test_torn_operations_are_no_old_rows(spark, tmp_path):
+    pair = TableSchema.of("pairs", {"x": "text"})
+    (tmp_path / "zzz.6").write_text("R\t7\n")
+    with pytest.raises(PySparkException, match="expected 3, found 2"):
+        read_segments(spark, str(tmp_path), pair).collect()
+
+
+def test_old_segments(spark, tmp_path):
+    """Without a preamble, with the line of names, with marks anywhere; the hash goes by the lines as they are."""
+    (tmp_path / "zzz.6").write_text("id\tbody\tcreated_at\tscore\tseen\nm1\ta\t1\t1\ttrue\n@later\textra\nR\t5\tm2\tb\t2\t1\tfalse\r\n\n")
+    (tmp_path / "zzy.6").write_text("R\t6\tm1\tc\t3\t1\ttrue\nSIX\t1\tx\nD\t7\tm2\n")
+    rows = {(r.tx_id, r.op, r.id) for r in read_segments(spark, str(tmp_path), TABLE).collect()}
+    assert rows == {(0, "R", "m1"), (5, "R", "m2"), (6, "R", "m1"), (7, "D", "m2")}
+    lines = [(r.chunk, r.line) for r in raw_lines(spark, str(tmp_path), TABLE).collect()]
+    assert [c for c, _ in lines] == ["zzz", "zzz", "zzy", "zzy"] and lines[1][1].endswith("false\r")
+    h = 0xCBF29CE484222325
+    for c, line in lines:
+        for byte in f"{c}\0{line}\n".encode():
+            h = (h ^ byte) * 0x100000001B3 % 2**64
+    assert source_hash(lines) == f"{h:016x}" and source_hash([]) == "cbf29ce484222325"
+
+
+def test_index_codec():
+    index = Index("t", "a" * 16, "b" * 16, [("m1", "zzz", 2**40, 7, 2**63), ("é", "zzy", 0, 0, 1)], [("id", "m1", "m1"), ("x", "\t", "é")])
+    data = encode_index(index)
+    assert data.startswith(b"SIXB\0\x02\0\0\0\x01\0\0\0t") and decode_index(data) == index and index.is_current("t", "a" * 16, "b" * 16)
+    for bad in (data[:-1], data + b"x", data[:20], b"", b"nonsense", b"SIXB\tx\tt\ta\tb\n", b"SIXB\t1\tt\ta\tb\nrow\tx\n", b"\xff"):
+        with pytest.raises(E.FormatError):
+            decode_index(bad)
+    old = decode_index(b"SIXB\t1\tt\ta\tb\nrow\tm\\t1\tzzz\t4\t5\t6\n\nlookup\tid\tm1\tm1\n")
+    assert old.rows == [("m\t1", "zzz", 4, 5, 6)] and old.lookups == [("id", "m1", "m1")] and not old.is_current("t", "a", "b")
+
+
 def test_preamble():
     check_preamble(preamble(TABLE, "f" * 16), TABLE)
-    with pytest.raises(E.FormatError):
+    check_preamble("m1\told row\t1\t1\ttrue\n", TABLE)
+    with pytest.raises(E.BadMagic):
         check_preamble("SIX\t1\ttable\tother\tdeadbeef\n", TABLE)
     with pytest.raises(E.FormatError):
         check_preamble(preamble(TableSchema.of("messages", {"body": "text"}), HASH), TABLE)
