@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from .operators.replay import compacted, live, live_from, lookup_index, numbered
 from .plans.request import Op, Plan, change, compile_read, selector
 from .schema import DatabaseSchema
 from .sources import segments
+from .sources.shared import scratch
 from .sources.tables import LOG_SQL, SQL, TABLES, latest, log, schema_of, table
 
 SCHEMA = DatabaseSchema.of(*(s for s, *_ in TABLES.values()))
@@ -360,8 +360,7 @@ def ext_word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def database(spark: SparkSession, sf_dir: str, *names: str) -> Database:
     """A new database with the tables, each loaded as one batch; in the shared folder, or a local one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logloom-")
-    db = Database.open(spark, shared, f"db-{uuid.uuid4().hex}", SCHEMA)
+    db = Database.open(spark, scratch(spark), f"db-{uuid.uuid4().hex}", SCHEMA)
     db.init()
     for name in names:
         db.upsert_frame(name, table(spark, sf_dir, name).select(*schema_of(name).fields))

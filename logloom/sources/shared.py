@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from urllib.parse import urlparse
 
@@ -17,6 +18,17 @@ def local_path(path: str) -> str | None:
     return url.path if url.scheme in ("", "file") else None
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; where none is set, a new local one in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise E.InvalidInput("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="logloom-")
+    return folder.rstrip("/")
+
+
 #: File systems whose rename is one step that fails where the target is. Object stores' are not of this kind.
 ATOMIC_RENAME = frozenset({"hdfs", "viewfs", "webhdfs", "swebhdfs", "ofs", "maprfs"})
 
