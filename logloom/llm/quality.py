@@ -6,7 +6,7 @@ documents' vote patterns estimates how each labeller votes on good, junk and tox
 and so each pattern's posterior of not being good. Posteriors of a bounded sample of labelled documents (SAMPLE; of all, if none is
 labelled) train a logistic scorer on hashed words and votes by the text; its score judges every document.
 
-All documents' votes are counted; only the counts, at most 3 to the number of labellers, come to the driver. The
+Texts are read once, into a table of votes and hashed features. All documents' votes are counted; only the counts, at most 3 to the number of labellers, come to the driver. The
 sample is drawn by a hash of the id, at a rate that gives SAMPLE documents at any size. The weights sent to tasks have
 BUCKETS entries.
 
@@ -25,10 +25,12 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, with_text
+from .common import materialize, slices, unused, with_text
 
 SAMPLE, BUCKETS, ROUNDS, REJECT, CHUNK = 20_000, 1 << 20, 100, 0.5, 1 << 22
 HEAD, OFTEN, VOTE, SILENT = 4, 4, 3.0, 0.3
@@ -157,67 +159,78 @@ def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, least:
     return weights, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The scorer's weights and bias."""
-    spark = docs.sparkSession
-    rows = with_text(docs, id_col, text_col)
-    known = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    known = known.select("doc_id", F.when(F.col("quality").isNull(), ABSTAIN).otherwise((F.col("quality") == 0).cast("int")).alias("q"), F.when(F.col("toxic").isNull(), ABSTAIN).otherwise((F.col("toxic") == 1).cast("int")).alias("t")).where(f"q <> {ABSTAIN} or t <> {ABSTAIN}")
+def featurized(rows: DataFrame, text_col: str, code: str, found: str, keep_text: bool) -> DataFrame:
+    """rows with the votes by their texts, as one number, and the texts' buckets: a table, so that texts are read once."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            codes, buckets = [], []
+            for t in b.column(text_col).to_pylist():
+                votes = style_votes(t or "")
+                codes.append(sum(v * 3**i for i, v in enumerate(votes)))
+                buckets.append(features(t or "", votes).tobytes())
+            b = b.append_column(code, pa.array(codes, pa.int64())).append_column(found, pa.array(buckets, pa.binary()))
+            yield b if keep_text else b.drop_columns([text_col])
+
+    fields = [f for f in rows.schema.fields if keep_text or f.name != text_col]
+    schema = T.StructType([*fields, T.StructField(code, T.LongType()), T.StructField(found, T.BinaryType())])
+    return materialize(rows.mapInArrow(read, schema), "features")
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            codes = [sum(v * 3**i for i, v in enumerate(style_votes(t))) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(codes, pa.int64())], ["doc_id", "code"])
 
-    voted = rows.mapInArrow(vote, "doc_id long, code long").join(known, "doc_id", "left")
+def train(read: DataFrame, labels: DataFrame, label_id: str = "doc_id", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """The scorer's weights and bias. read: (doc_id, code, found)."""
+    known = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = known.select("doc_id", F.when(F.col("quality").isNull(), ABSTAIN).otherwise((F.col("quality") == 0).cast("int")).alias("q"), F.when(F.col("toxic").isNull(), ABSTAIN).otherwise((F.col("toxic") == 1).cast("int")).alias("t")).where(f"q <> {ABSTAIN} or t <> {ABSTAIN}")
+    voted = read.select("doc_id", "code").join(known, "doc_id", "left")
     patterns = voted.groupBy("code", F.coalesce("q", F.lit(ABSTAIN)).alias("q"), F.coalesce("t", F.lit(ABSTAIN)).alias("t")).count().collect()  # 3 ** 9 rows at most
     table = np.array([[r.code // 3**i % 3 for i in range(len(STYLE))] + [r.q, r.t] for r in patterns], np.int64).reshape(-1, len(STYLE) + 2)
     posterior, _, _ = estimate(table, np.array([r["count"] for r in patterns], float))
     of = {(r.code, r.q, r.t): p for r, p in zip(patterns, posterior)}
 
     n = known.count()
-    ids = known if n else rows.select("doc_id", F.lit(ABSTAIN).alias("q"), F.lit(ABSTAIN).alias("t")).where("doc_id is not null").distinct()
+    ids = known if n else read.select("doc_id", F.lit(ABSTAIN).alias("q"), F.lit(ABSTAIN).alias("t")).where("doc_id is not null").distinct()
     n = n or ids.count()
     rate = min(1.0, sample / max(1, n))
     chosen = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < int(rate * (1 << 30)))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            votes = [style_votes(t) for t in b.column("text").to_pylist()]
-            found = [features(t, v).tobytes() for t, v in zip(b.column("text").to_pylist(), votes)]
-            codes = [sum(x * 3**i for i, x in enumerate(v)) for v in votes]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(codes, pa.int64()), b.column("q"), b.column("t"), pa.array(found, pa.binary())], ["doc_id", "code", "q", "t", "found"])
-
-    picked = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "q", "t").mapInArrow(read, "doc_id long, code long, q int, t int, found binary")  # about SAMPLE rows
+    picked = read.select("doc_id", "code", "found").join(F.broadcast(chosen), "doc_id")  # about SAMPLE rows
     trained = sorted(((r.doc_id, bytes(r.found), of[(r.code, r.q, r.t)]) for r in picked.toLocalIterator()), key=lambda r: r[:2])
     return fit([np.frombuffer(f, "<i4") for _, f, _ in trained], np.array([p for *_, p in trained]))
 
 
-def reject_scores(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndarray:
-    z = np.array([weights[features(t or "", style_votes(t or ""))].sum(dtype=np.float64) + bias for t in texts])
+def reject_scores(found: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The probability that a document is bad, by its buckets."""
+    lens = pc.binary_length(found).to_numpy(zero_copy_only=False) // 4
+    flat = np.frombuffer(b"".join(found.to_pylist()), "<i4")
+    sums = np.concatenate([[0.0], np.cumsum(weights[flat], dtype=np.float64)])
+    ends = np.cumsum(lens)
+    z = sums[ends] - sums[ends - lens] + bias
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:
     """(doc_id, reject_score, keep): the scorer's probability that a document is bad; it is kept below `reject`."""
-    weights, bias = train(docs, labels, id_col, text_col, label_id, sample)
+    read = featurized(with_text(docs, id_col, text_col), "text", "code", "found", keep_text=False)
+    weights, bias = train(read, labels, label_id, sample)
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            p = reject_scores(b.column("text").to_pylist(), model.value, bias)
+        for b in batches:
+            p = reject_scores(b.column("found"), model.value, bias)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array(p < reject)], ["doc_id", "reject_score", "keep"])
 
-    return with_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, reject_score double, keep boolean")
+    return read.select("doc_id", "found").mapInArrow(score, "doc_id long, reject_score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:
     """The rows of docs, with all their columns, that judge() keeps."""
-    weights, bias = train(docs, labels, id_col, text_col, label_id, sample)
+    code, found = unused(docs, "code"), unused(docs, "found")
+    read = featurized(docs, text_col, code, found, keep_text=True)
+    weights, bias = train(read.select(F.col(id_col).cast("long").alias("doc_id"), F.col(code).alias("code"), F.col(found).alias("found")), labels, label_id, sample)
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            yield b.filter(pa.array(reject_scores(b.column(text_col).to_pylist(), model.value, bias) < reject))
+        for b in batches:
+            good = reject_scores(b.column(found), model.value, bias) < reject
+            yield b.drop_columns([code, found]).filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return read.mapInArrow(keep, docs.schema)
