@@ -28,6 +28,8 @@ from .common import materialize, runs, slices, tasks_for, unused, with_text, wor
 from .graph import components
 
 PART, PART_BYTES = 512, 32 << 20
+#: Rows of three numbers that are broadcast at most.
+FEW = 1 << 20
 SEED = 42
 
 
@@ -259,7 +261,9 @@ def _verified(texts: DataFrame, open_: DataFrame, nodes: DataFrame, tied: DataFr
     groups = open_.join(tied, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     apart = groups.groupBy("key", "a", "b").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key", "a", "b")
     left = materialize(groups.join(apart, ["key", "a", "b"], "left_semi"), "open-cells")
-    asked = left.select("node").distinct().join(nodes.select("node", "whole", "fp"), "node").select(F.col("node").alias("doc_id"), "whole", "fp")
+    asked = materialize(left.select("node").distinct().join(nodes.select("node", "whole", "fp"), "node").select(F.col("node").alias("doc_id"), "whole", "fp"), "asked")
+    if asked.count() <= FEW:  # then the texts need not be dealt out to find theirs
+        asked = F.broadcast(asked)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):

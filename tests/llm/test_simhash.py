@@ -164,6 +164,7 @@ def test_pairs_about_the_bound_are_told_by_their_sets(spark, docs_frame, monkeyp
                 root = {k: least if v == other else v for k, v in root.items()}
     assert 25 < len(set(root.values())) < 150
     assert {r.doc_id: r.component_id for r in S.near_duplicates(docs_frame(rows)).collect()} == root
+    monkeypatch.setattr(S, "FEW", 0)
     for cut in ((3, 1 << 20), (512, 6000)):
         monkeypatch.setattr(S.cells, "__defaults__", cut)
         assert {r.doc_id: r.component_id for r in S.near_duplicates(docs_frame(rows)).collect()} == root
