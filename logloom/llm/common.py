@@ -50,11 +50,11 @@ def _files(df: DataFrame, path: str):
     return at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), at
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and survives the loss of executors. The table
     is deleted when the application ends, if not before."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     fs, at = _files(df, path)
     fs.deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

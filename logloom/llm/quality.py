@@ -160,7 +160,7 @@ def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, least:
 
 
 def featurized(rows: DataFrame, text_col: str, code: str, found: str, keep_text: bool) -> DataFrame:
-    """rows with the votes by their texts, as one number, and the texts' buckets: a table, so that texts are read once."""
+    """rows with the votes by their texts, as one number, and the differences of the texts' buckets: a table, so that texts are read once."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
@@ -168,13 +168,13 @@ def featurized(rows: DataFrame, text_col: str, code: str, found: str, keep_text:
             for t in b.column(text_col).to_pylist():
                 votes = style_votes(t or "")
                 codes.append(sum(v * 3**i for i, v in enumerate(votes)))
-                buckets.append(features(t or "", votes).tobytes())
+                buckets.append(np.diff(features(t or "", votes), prepend=np.int32(0)).astype("<i4").tobytes())
             b = b.append_column(code, pa.array(codes, pa.int64())).append_column(found, pa.array(buckets, pa.binary()))
             yield b if keep_text else b.drop_columns([text_col])
 
     fields = [f for f in rows.schema.fields if keep_text or f.name != text_col]
     schema = T.StructType([*fields, T.StructField(code, T.LongType()), T.StructField(found, T.BinaryType())])
-    return materialize(rows.mapInArrow(read, schema), "features")
+    return materialize(rows.mapInArrow(read, schema), "features", "zstd")
 
 
 def train(read: DataFrame, labels: DataFrame, label_id: str = "doc_id", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
@@ -194,15 +194,17 @@ def train(read: DataFrame, labels: DataFrame, label_id: str = "doc_id", sample:
     chosen = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < int(rate * (1 << 30)))
     picked = read.select("doc_id", "code", "found").join(F.broadcast(chosen), "doc_id")  # about SAMPLE rows
     trained = sorted(((r.doc_id, bytes(r.found), of[(r.code, r.q, r.t)]) for r in picked.toLocalIterator()), key=lambda r: r[:2])
-    return fit([np.frombuffer(f, "<i4") for _, f, _ in trained], np.array([p for *_, p in trained]))
+    return fit([np.cumsum(np.frombuffer(f, "<i4"), dtype=np.int32) for _, f, _ in trained], np.array([p for *_, p in trained]))
 
 
 def reject_scores(found: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
-    """The probability that a document is bad, by its buckets."""
+    """The probability that a document is bad, by the differences of its buckets."""
     lens = pc.binary_length(found).to_numpy(zero_copy_only=False) // 4
-    flat = np.frombuffer(b"".join(found.to_pylist()), "<i4")
-    sums = np.concatenate([[0.0], np.cumsum(weights[flat], dtype=np.float64)])
     ends = np.cumsum(lens)
+    total = lambda values: np.concatenate([[0], np.cumsum(values)])
+    steps = total(np.frombuffer(b"".join(found.to_pylist()), "<i4").astype(np.int64))
+    buckets = steps[1:] - np.repeat(steps[ends - lens], lens)
+    sums = total(weights[buckets].astype(np.float64))
     z = sums[ends] - sums[ends - lens] + bias
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
