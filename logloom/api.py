@@ -283,8 +283,7 @@ class Database:
             told[:] = [AppendResult(tx, "put" if op == "R" else "delete", len(encoded_line(table, tx, op, dict(zip(table.fields, values))).encode()) + 1) for tx, op, *values in lines]
             return self.store.with_log(state, table, written[0], len(lines))
 
-        self.store.commit(make)
-        self._keep_up(table)
+        self._keep_up(table, self.store.commit(make))
         return told
 
     def resolve_and_append(self, table: str, resolver: Callable[[WriteSnapshot], list[Plan]]) -> list[AppendResult]:
@@ -303,9 +302,9 @@ class Database:
         except _Nothing:
             return []
 
-    def _keep_up(self, table: TableSchema) -> None:
+    def _keep_up(self, table: TableSchema, state: State) -> None:
         """A new snapshot once snapshot_every logs came after the last."""
-        entry = self.store.table_state(self.store.state(), table)
+        entry = self.store.table_state(state, table)
         if self.options.snapshot_every and len(entry.logs) - entry.after_snapshot >= self.options.snapshot_every:
             self.store.refresh_snapshot(table)
 
@@ -322,8 +321,7 @@ class Database:
             raise E.InvalidPlan("write_many insert changes cannot be mixed with other changes; use insert_many")
         count = sum(kinds.values())
         if count:
-            self._commit(schema, full, count, dense=False)
-            self._keep_up(schema)
+            self._keep_up(schema, self._commit(schema, full, count, dense=False)[0])
         return count
 
     def insert_frame(self, table: str, rows: DataFrame, order: str = "id") -> int:
