@@ -8,7 +8,7 @@ labelled) train a logistic scorer on hashed words and votes by the text; its sco
 
 Texts are read once, into a table of votes and hashed features. All documents' votes are counted; only the counts, at most 3 to the number of labellers, come to the driver. The
 sample is drawn by a hash of the id, at a rate that gives SAMPLE documents at any size. The weights sent to tasks have
-BUCKETS entries.
+BUCKETS entries. While it trains, the driver's Python holds the sample's buckets twice at most, in whole blocks that it gives back.
 
 A null text is empty, and an empty text is rejected by its labeller. Null labels abstain; of repeated label rows the
 worst counts; labels without document do nothing. Rows that repeat an id are judged each; a null id is kept as it is
@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from operator import eq
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, slices, unused, with_text
 
-SAMPLE, BUCKETS, ROUNDS, REJECT, CHUNK = 20_000, 1 << 20, 100, 0.5, 1 << 22
+SAMPLE, BUCKETS, ROUNDS, REJECT, CHUNK = 20_000, 1 << 20, 100, 0.5, 1 << 20
 HEAD, OFTEN, VOTE, SILENT = 4, 4, 3.0, 0.3
 KEEP_VOTE, REJECT_VOTE, ABSTAIN = 0, 1, 2
 STYLE = ("symbols", "capitals", "stutter", "stops", "lines", "insults", "empty")
@@ -124,7 +126,32 @@ def vote_buckets() -> np.ndarray:
     return np.array([zlib.crc32(f"\0{s}".encode()) % BUCKETS for s in STYLE])
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, least: int = 3, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+class Sample:
+    """The buckets of rows (id, differences, target), in the order of the ids and then the differences. These are one
+    block, which goes back to the system as a whole, and are undone one row at a time: the driver has few bytes to
+    spare, and many small objects would stay with it."""
+
+    def __init__(self, rows: Iterable[tuple[int, bytes, float]]):
+        self.block, self.ends = bytearray(), array("q", [0])
+        ids, targets = array("q"), array("d")
+        for number, found, target in rows:
+            self.block += found
+            self.ends.append(len(self.block))
+            ids.append(number)
+            targets.append(target)
+        by_id = groupby(sorted(range(len(ids)), key=ids.__getitem__), ids.__getitem__)
+        self.order = [i for _, same in by_id for i in sorted(same, key=lambda i: bytes(self.block[self.ends[i] : self.ends[i + 1]]))]
+        self.target = np.array(targets)[self.order]
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for i in self.order:
+            yield np.cumsum(np.frombuffer(self.block, "<i4", (self.ends[i + 1] - self.ends[i]) // 4, self.ends[i]), dtype=np.int32)
+
+
+def fit(rows: list[np.ndarray] | Sample, target: np.ndarray, rounds: int = ROUNDS, least: int = 3, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights per bucket and the bias of a logistic scorer, by full-batch Adagrad; buckets that fewer than `least`
     rows have keep the weight they start with. The bias stays the rows' mean log odds and no weight is negative: a text is rejected for
     what it has, and neither kept for its length nor rejected for its brevity. A rejecting vote weighs VOTE at first
@@ -139,20 +166,25 @@ def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, least:
     used = np.flatnonzero(seen >= least)
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    flat = np.concatenate([(p := place[r])[p >= 0] for r in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [int((place[r] >= 0).sum()) for r in rows])
-    parts = [slice(at, at + CHUNK) for at in range(0, len(flat), CHUNK)]
+    flat, ends = np.empty(int(seen[used].sum()), np.int32), np.zeros(len(rows) + 1, np.int64)
+    for i, r in enumerate(rows):
+        kept = (p := place[r])[p >= 0]
+        ends[i + 1] = ends[i] + len(kept)
+        flat[ends[i] : ends[i + 1]] = kept
+    counts = np.diff(ends)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(flat), CHUNK)), len(rows))).tolist()
     mean = float(np.clip(target.mean(), 0.01, 0.3))
     start = weights[used].astype(float)
     w, bias = start.copy(), float(np.log(mean / (1 - mean)))
     sums = np.full(len(used), 1e-6)
     for _ in range(rounds):
-        z, g = np.full(len(rows), bias), ridge * (w - start)
-        for part in parts:
-            z += np.bincount(row[part], w[flat[part]], len(rows))
-        error = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
-        for part in parts:
-            g += np.bincount(flat[part], error[row[part]], len(used))
+        g = ridge * (w - start)
+        for a, b in zip(cuts, cuts[1:]):
+            part, full = flat[ends[a] : ends[b]], a + np.flatnonzero(counts[a:b])
+            z = np.full(b - a, bias)
+            z[full - a] += np.add.reduceat(w[part], ends[full] - ends[a])
+            error = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target[a:b]
+            g += np.bincount(part, np.repeat(error, counts[a:b]), len(used))
         sums += g * g
         w = np.maximum(w - 0.3 * g / np.sqrt(sums), 0)
     weights[used] = w
@@ -193,8 +225,8 @@ def train(read: DataFrame, labels: DataFrame, label_id: str = "doc_id", sample:
     rate = min(1.0, sample / max(1, n))
     chosen = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < int(rate * (1 << 30)))
     picked = read.select("doc_id", "code", "found").join(F.broadcast(chosen), "doc_id")  # about SAMPLE rows
-    trained = sorted(((r.doc_id, bytes(r.found), of[(r.code, r.q, r.t)]) for r in picked.toLocalIterator()), key=lambda r: r[:2])
-    return fit([np.cumsum(np.frombuffer(f, "<i4"), dtype=np.int32) for _, f, _ in trained], np.array([p for *_, p in trained]))
+    trained = Sample((r.doc_id, r.found, of[(r.code, r.q, r.t)]) for r in picked.toLocalIterator())
+    return fit(trained, trained.target)
 
 
 def reject_scores(found: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -150,3 +151,24 @@ def test_scores_by_brute_force(spark):
     for d in texts:
         want = 1 / (1 + math.exp(-(bias + sum(weights.get(b, 0.0) for b in buckets[d]))))
         assert abs(got[d] - want) < 1e-4, (d, got[d], want)
+
+
+def test_fitting_holds_one_copy_of_the_buckets(monkeypatch):
+    """Beside some arrays of BUCKETS entries and of CHUNK: in the driver of the pipeline there is little room for more."""
+    monkeypatch.setattr(Q, "CHUNK", 1 << 16)
+    rng = np.random.default_rng(2)
+    rows = [np.sort(rng.choice(10_000, 3000, replace=False)).astype("<i4") for _ in range(3000)]
+    size = sum(r.nbytes for r in rows)
+    tracemalloc.start()
+    weights, _ = Q.fit(rows, rng.random(len(rows)), rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (weights > 0).sum() > len(Q.STYLE)
+    assert peak < 1.2 * size + 4 * weights.nbytes, (peak, size)
+
+
+def test_sample_is_in_order():
+    rows = [(7, b"\1\0\0\0\2\0\0\0", 0.5), (-3, b"", 0.1), (7, b"\1\0\0\0", 0.25), (0, b"\5\0\0\0\5\0\0\0", 1.0)]
+    found = Q.Sample(rows)
+    assert len(found) == 4 and [r.tolist() for r in found] == [[], [5, 10], [1], [1, 3]] and found.target.tolist() == [0.1, 1.0, 0.25, 0.5]
+    assert not len(Q.Sample([])) and Q.fit(Q.Sample([]), Q.Sample([]).target)[1] == -Q.VOTE / 2
