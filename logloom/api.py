@@ -311,6 +311,10 @@ class Database:
     def write_frame(self, table: str, changes: DataFrame) -> int:
         """A batch of any size: changes (seq, kind, lookup, key, fields), of which columns that are not there are
         null. Returns how many operations were written."""
+        return self._write_frame(table, changes, dense=False)
+
+    def _write_frame(self, table: str, changes: DataFrame, dense: bool) -> int:
+        """dense: seq counts from 0 without gaps, and each change is one operation, so it numbers the operations too."""
         schema = self.schema.table(table)
         want = batch.change_schema(schema)
         full = changes.select(*(F.col(f.name).cast(f.dataType) if f.name in changes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want.fields))
@@ -321,7 +325,7 @@ class Database:
             raise E.InvalidPlan("write_many insert changes cannot be mixed with other changes; use insert_many")
         count = sum(kinds.values())
         if count:
-            self._keep_up(schema, self._commit(schema, full, count, dense=False)[0])
+            self._keep_up(schema, self._commit(schema, full, count, dense)[0])
         return count
 
     def insert_frame(self, table: str, rows: DataFrame, order: str = "id") -> int:
@@ -333,7 +337,7 @@ class Database:
     def _write_rows(self, table: str, rows: DataFrame, order: str, kind: str) -> int:
         told = numbered(rows, [order], "seq")
         try:
-            return self.write_frame(table, told.withColumn("kind", F.lit(kind)))
+            return self._write_frame(table, told.withColumn("kind", F.lit(kind)), dense=True)
         finally:
             told.release()
 

@@ -43,7 +43,7 @@ def unescape(c: Column) -> Column:
 def parse(c: Column, kind: str) -> Column:
     """The value of a text; null where it is none of the kind's."""
     if kind in ("id", "text"):
-        return F.when(~has_bad_escape(c), unescape(c))
+        return F.when(~F.contains(c, F.lit("\\")), c).when(~has_bad_escape(c), unescape(c))  # most texts have no escape
     fine = c.rlike(STRICT[kind])
     if kind == "float":
         low = F.lower(F.regexp_replace(c, r"\A\+", ""))
@@ -55,3 +55,9 @@ def parse(c: Column, kind: str) -> Column:
 def segment_name(number: Column) -> Column:
     """Segment 0 is zzz, the last (46,655) is 000: base 36, counted down."""
     return F.lower(F.lpad(F.conv((F.lit(36**3 - 1) - number).cast("string"), 10, 36), 3, "0"))
+
+
+def name_of(number: int) -> str:
+    """segment_name of one number."""
+    left, digits = 36**3 - 1 - number, "0123456789abcdefghijklmnopqrstuvwxyz"
+    return digits[left // 1296] + digits[left // 36 % 36] + digits[left % 36]

@@ -11,19 +11,21 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import errors as E
-from ..functions.text import escape, let, parse, segment_name
+from ..functions.text import escape, let, name_of, parse
 from ..functions.values import text_of
 from ..schema import KINDS, TableSchema, fnv1a
 from .shared import Files
 
 # Fixed values of the format.
 MAGIC, VERSION, SUFFIX, SEGMENT_BYTES = "SIX", 1, ".6", 1 << 20
+MOVES = 16  # files that the driver names at a time
 
 
 def preamble(table: TableSchema, schema_hash: str) -> str:
@@ -46,6 +48,13 @@ def check_preamble(text: str, table: TableSchema) -> None:
         raise E.BadMagic(got[0])
 
 
+def _foreign(head: Column, table: TableSchema) -> Column:
+    """Whether check_preamble would refuse a text of the preamble's lines."""
+    first, *others = preamble(table, "").split("\n")[:-1]
+    own = "\r?\n".join([f"{re.escape(first)}[0-9a-fA-F]{{16}}", *map(re.escape, others)])
+    return (F.startswith(head, F.lit(f"{MAGIC}\t")) | F.startswith(head, F.lit("@"))) & ~head.rlike(rf"\A{own}\r?\z")
+
+
 def encode(ops: DataFrame, table: TableSchema, keep: tuple[str, ...] = ()) -> DataFrame:
     """ops (tx_id, op, fields) as lines, with the columns `keep`."""
     values = [escape(text_of(F.col(f), k)) for f, k in table.fields.items()]
@@ -96,11 +105,11 @@ def read_segments(spark: SparkSession, folder: str, table: TableSchema, mode: st
         return spark.createDataFrame([], schema)
     whole = _whole(spark, folder)
     headless = len(preamble(table, "0" * 16).split("\n")) - 1
-    heads = whole.select("chunk", F.array_join(F.slice(F.split("value", "\n", headless + 1), 1, headless), "\n").alias("head"), (~F.endswith("value", F.lit("\n")) & (F.length("value") > 0)).alias("torn"))
-    for r in heads.toLocalIterator():  # a header for each file
+    heads = whole.select("chunk", F.substring_index("value", "\n", headless).alias("head"), (~F.endswith("value", F.lit("\n")) & (F.length("value") > 0)).alias("torn"))
+    bad = _foreign(F.col("head"), table) if mode == "recover" else _foreign(F.col("head"), table) | F.col("torn")
+    for r in heads.where(bad).orderBy(F.desc("chunk")).limit(1).collect():  # the oldest that is not sound
         check_preamble(r.head, table)
-        if r.torn and mode != "recover":
-            raise E.CorruptData(f"incomplete tail in segment {r.chunk}")
+        raise E.CorruptData(f"incomplete tail in segment {r.chunk}")
     sound = decode(_lines(whole, table), table, ("chunk", "pos"))
     checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("malformed line in segment "), F.col("chunk"), F.lit(": "), F.col("problem")))).otherwise(F.col("op"))
     return sound.select("chunk", F.col("pos").cast("long").alias("pos"), "tx_id", checked.alias("op"), *table.fields)
@@ -113,10 +122,12 @@ def _whole(spark: SparkSession, folder: str) -> DataFrame:
 def _lines(whole: DataFrame, table: TableSchema) -> DataFrame:
     """(chunk, pos, raw, line) of the operations' lines: complete ones that are not empty, no preamble's and no header.
     line is raw without its carriage returns at the end."""
-    parts = F.split("value", "\n", -1)
-    lines = whole.select("chunk", F.posexplode(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("pos", "line"))
+    tail = F.substring_index("value", "\n", -1)
+    complete = F.left("value", F.length("value") - F.length(tail))
+    lines = whole.select("chunk", F.posexplode_outer(F.split(complete, "\n", -1)).alias("pos", "line"))  # not outer, a segment is split again for an inferred filter
     line = F.col("line")
-    return lines.select("chunk", "pos", F.col("line").alias("raw"), F.regexp_replace("line", r"\r+\z", "").alias("line")).where((line != "") & ~F.startswith(line, F.lit(f"{MAGIC}\t")) & ~F.startswith(line, F.lit("@")) & (line != "\t".join(table.fields)))
+    bare = F.when(F.endswith(line, F.lit("\r")), F.regexp_replace(line, r"\r+\z", "")).otherwise(line)
+    return lines.select("chunk", "pos", line.alias("raw"), bare.alias("line")).where((line != "") & ~F.startswith(line, F.lit(f"{MAGIC}\t")) & ~F.startswith(line, F.lit("@")) & (line != "\t".join(table.fields)))
 
 
 def raw_lines(spark: SparkSession, folder: str, table: TableSchema) -> DataFrame:
@@ -131,39 +142,35 @@ def source_hash(lines: Iterable[tuple[str, str]]) -> str:
 
 
 def write_segments(ops: DataFrame, folder: str, table: TableSchema, schema_hash: str, segment_bytes: int = SEGMENT_BYTES) -> int:
-    """Writes ops (tx_id, op, fields) in the order of tx_id as segments; returns how many. Each task's lines are cut
-    into segments by their running size; a line never spans two. Segment numbers go by the tasks' counts. The tasks
-    write the segments' texts, the driver only names the files."""
+    """Writes ops (tx_id, op, fields) in the order of tx_id as segments; returns how many. Operations are dealt into
+    ranges, as many as their bytes need, and each range's lines are cut into segments by their running size; a line
+    never spans two. The tasks write the segments' texts by range and place, the driver only numbers and names the
+    files."""
     spark = ops.sparkSession
     head = preamble(table, schema_hash)
-    lines = encode(ops, table, ("tx_id",)).withColumn("size", F.octet_length("line") + 1)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = lines.repartitionByRange(n, "tx_id").withColumn("task", F.spark_partition_id()).persist()
+    ranged = ops.repartitionByRange("tx_id").withColumn("task", F.spark_partition_id())
+    lines = encode(ranged, table, ("task", "tx_id")).withColumn("size", F.octet_length("line") + 1)
+    own = Window.partitionBy("task").orderBy("tx_id").rowsBetween(Window.unboundedPreceding, 0)
+    cut = lines.withColumn("local", F.floor((F.sum("size").over(own) - 1) / (segment_bytes - len(head.encode()))))
+    ordered = F.sort_array(F.collect_list(F.struct("tx_id", "line")))["line"]
+    body = cut.groupBy("task", "local").agg(F.array_join(ordered, "\n").alias("body"))  # about 1 MiB each
     files, work = Files(spark), f"{folder.rstrip('/')}/.writing-{uuid.uuid4().hex}"
+
+    def move(part: str, number: int) -> None:
+        (written,) = [f for f in files.names(f"{work}/{part}") if f.startswith("part-")]
+        files.move(f"{work}/{part}/{written}", f"{folder.rstrip('/')}/{name_of(number)}{SUFFIX}")
+
     try:
-        room = segment_bytes - len(head.encode())
-        own = Window.partitionBy("task").orderBy("tx_id")
-        cut = ranged.withColumn("local", F.floor((F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1) / room))
-        counts = {r.task: r.n for r in cut.groupBy("task").agg((F.max("local") + 1).alias("n")).collect()}  # a row for each task
-        first, total = {}, 0
-        for task in sorted(counts):
-            first[task], total = total, total + counts[task]
-        if total > 36**3:
+        body.select(F.concat_ws("-", "task", "local").alias("place"), F.concat(F.lit(head), "body").alias("value")).write.partitionBy("place").text(work)
+        parts = [p for p in files.names(work) if p.startswith("place=")]
+        parts.sort(key=lambda p: [int(n) for n in p.removeprefix("place=").split("-")])
+        if len(parts) > 36**3:
             raise E.InvalidInput("more segments than names")
-        if not total:
-            return 0
-        starts = spark.createDataFrame(sorted(first.items()), "task int, first long")
-        named = cut.join(F.broadcast(starts), "task").withColumn("segment", segment_name(F.col("first") + F.col("local")))
-        body = named.groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tx_id", "line"))), lambda s: s["line"]), "\n").alias("body"))  # about 1 MiB each
-        body.select("segment", F.concat(F.lit(head), "body").alias("value")).write.partitionBy("segment").text(work)
-        for part in files.names(work):
-            if part.startswith("segment="):
-                (name,) = [f for f in files.names(f"{work}/{part}") if f.startswith("part-")]
-                files.move(f"{work}/{part}/{name}", f"{folder.rstrip('/')}/{part.removeprefix('segment=')}{SUFFIX}")
-        return total
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(move, parts, range(len(parts))))
+        return len(parts)
     finally:
         files.delete(work)
-        ranged.unpersist()
 
 
 def read_jsonl(spark: SparkSession, path: str, table: TableSchema) -> DataFrame:

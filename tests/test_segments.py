@@ -34,6 +34,44 @@ def test_round_trip_and_order(spark, tmp_path):
     assert text.startswith("SIX\t1\ttable\tmessages\t") and "@lookup\tid\tunique\n@lookup\tcreated_at\tmany\n@data\nR\t1\tm1\ta\\tb\\n\\\\xxxxxxxxxx\t1\t0.25\tfalse\n" in text
 
 
+def test_segments_are_as_many_as_the_bytes_need(spark, tmp_path):
+    """Not one for each task at least; long lines leave no numbers out; headers are looked at in one job, whatever the files."""
+    assert write_segments(ops(spark, 200), str(tmp_path / "small"), TABLE, HASH) == 1 and (tmp_path / "small" / "zzz.6").exists()
+    assert write_segments(ops(spark, 0), str(tmp_path / "none"), TABLE, HASH) == 0
+    folder, log = str(tmp_path / "long"), ops(spark, 20, size=3000)
+    n = write_segments(log, folder, TABLE, HASH, segment_bytes=500)
+    names = sorted((x for x in os.listdir(folder) if x.endswith(".6")), reverse=True)
+    assert 16 <= n <= 20 and names == [f"zz{c}.6" for c in "zyxwvutsrqponmlkjihg"[:n]]
+    found = [int(x.split("\t")[1]) for n in names for x in (tmp_path / "long" / n).read_text().split("@data\n")[1].splitlines()]
+    assert found == list(range(1, 21))
+    spark.sparkContext.setJobGroup("headers", "headers")
+    back = read_segments(spark, folder, TABLE)
+    spark.sparkContext.setJobGroup("after", "after")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers")) == 1
+    assert back.count() == 20 and back.where("op = 'D'").count() == 4
+
+
+def test_headers_are_judged_alike(spark, tmp_path):
+    """What check_preamble refuses is found among many, carriage returns and other hashes are fine."""
+    head, line = preamble(TABLE, "0123456789abcdEF"), "R\t1\tm1\ta\\\\n\\tb\t1\t1\ttrue\n"
+    good = {"zzz": head + line, "zzy": head.replace("\n", "\r\n") + line, "zzx": head, "zzw": "", "zzv": "m2\tplain\t1\t1\ttrue\n", "zzu": "\n\n" + line.replace("\n", "\r\r\n")}
+    bad = [head.replace("EF", "xy"), head.replace("messages", "other"), head.replace("created_at\tint", "created_at\ttext"), "@field\tid\tid\n" + line, head.replace("@data\n", "")]
+    for i, text in enumerate([None, *bad]):
+        folder = tmp_path / str(i)
+        folder.mkdir()
+        for name, body in (good | ({"zyz": text} if text is not None else {})).items():
+            (folder / f"{name}.6").write_bytes(body.encode())
+        if text is None:
+            rows = read_segments(spark, str(folder), TABLE).collect()
+            assert sorted((r.chunk, r.id, r.body) for r in rows) == [("zzu", "m1", "a\\n\tb"), ("zzv", "m2", "plain"), ("zzy", "m1", "a\\n\tb"), ("zzz", "m1", "a\\n\tb")]
+            continue
+        with pytest.raises(E.BadMagic):
+            check_preamble(text, TABLE)
+        for mode in ("strict", "recover"):
+            with pytest.raises(E.BadMagic):
+                read_segments(spark, str(folder), TABLE, mode)
+
+
 def test_torn_tails_and_bad_lines(spark, tmp_path):
     head = preamble(TABLE, HASH)
     good = "R\t1\tm1\thello\t1\t1\ttrue\n"
